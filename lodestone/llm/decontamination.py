@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are reduced to words (runs of ASCII letters and digits and of bytes beyond ASCII,
-lower-cased in A-Z) joined by one space. A test item is searched as passages: the item itself if
+Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of bytes beyond
+ASCII) joined by one space. A test item is searched as passages: the item itself if
 it is short, else overlapping windows of it, so that a copied part is found as well. A passage
 with an error budget of k edits is split into k + 1 pieces; a text that holds the passage within
 k edits holds one of the pieces unchanged. One automaton finds all pieces of all passages in a
@@ -30,6 +30,8 @@ from lodestone.llm.common import LOWER_ALNUM, texts
 
 
 def reduced(text: bytes) -> bytes:
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").lower().encode("utf-8")
     return b" ".join(text.translate(LOWER_ALNUM).split())
 
 
