@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, html, language, licenses, packing, quality, token_counts, toxicity, vectors
+from lodestone.llm import decontamination, html, language, licenses, near_copies, packing, quality, token_counts, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_near_copies": near_copies.op2_near_copies,
         "op3_language": language.op3_language,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_licenses": licenses.op5_licenses,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_vectors": vectors.OP10_SQL}
+    return {"op2_near_copies": near_copies.OP2_SQL, "op10_vectors": vectors.OP10_SQL}
