@@ -11,23 +11,39 @@ from lodestone.sources.storage import Scratch
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges`` (src, dst).
 
-    Each round takes the smallest label among a node and its neighbours (a map-side combined
-    aggregate) and then jumps to that label's own label, so that long chains halve. A round is
-    written to the shared scratch folder; a round without a change ends the loop. Nodes without
-    edges have no row. Self-loops and repeated edges do no harm; null ends are dropped.
+    Each round hooks every node to its smallest neighbour, if that is smaller (a map-side
+    combined aggregate), follows the hooks once more, and contracts the edges to the hooked
+    nodes. Nodes that stay are smaller than all their neighbours, so that at most half of the
+    nodes with edges are left; edges inside a contracted node vanish. Every round's edges and
+    hooks are written to the shared scratch folder. Nodes without edges have no row. Self-loops
+    and repeated edges do no harm; null ends are dropped.
     """
     scratch = Scratch(spark, "components")
-    one_way = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna()
-    both = scratch.save(one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), F.col("component")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("low"))
-        own = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = scratch.save(lower.join(own, "low", "left").select("node", "before", F.least("low", F.coalesce("jump", "low")).alias("component")))
-        moved = new.filter(F.col("before") != F.col("component")).limit(1).count()
-        scratch.drop(labels)
-        labels = new
-        if not moved:
-            return labels.select("node", "component")
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna()
+    alone = scratch.save(ends.filter("src = dst").select(F.col("src").alias("node")).distinct())
+    left = scratch.save(ends.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    hooks: list[DataFrame] = []
+    while left.limit(1).count():
+        if len(hooks) == max_rounds:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        # the smaller end of an edge needs no row of its own unless it is some edge's larger end
+        down = scratch.save(left.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("low")))
+        further = down.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        hooks.append(scratch.save(down.join(further, "low", "left").select("node", F.coalesce("lower", "low").alias("to"))))
+        contracted = left
+        for end in ("src", "dst"):
+            moved = hooks[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+            contracted = contracted.join(moved, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
+        new = scratch.save(contracted.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        scratch.drop(left, down)
+        left = new
+    if not hooks:
+        return alone.select("node", F.col("node").alias("component"))
+    # a node that is hooked in one round may be a node of later rounds through what it was hooked to
+    labels = hooks[0].select("node", F.col("to").alias("component"))
+    for later in hooks[1:]:
+        labels = labels.join(later.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(later.select("node", F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti"))
+        labels = scratch.save(labels)
+    roots = labels.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
+    singles = alone.join(labels.select("node").unionByName(roots.select("node")), "node", "left_anti").withColumn("component", F.col("node"))
+    return scratch.save(labels.unionByName(roots).unionByName(singles))
