@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +15,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-class Memo(dict):
-    """A dictionary that fills itself by a function; ``trim`` keeps its size bounded."""
-
-    def __init__(self, make: Callable, most: int = 400_000) -> None:
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column; null becomes empty."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -59,15 +44,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     return docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(ids), "__id").select("text", F.col("__label").alias("label"))
 
 
-def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that treats each batch alone."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
-
-    return run
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``: texts are long, and whole batches of them,
+    with what is made from them, would set a worker's memory. What was freed goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_ALNUM, texts
+from lodestone.llm.common import LOWER_ALNUM, slices, texts
 
 
 def reduced(text: bytes) -> bytes:
@@ -168,7 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece:
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(i, matcher.ids[k], *f) for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for k, f in sorted(matcher.find(t).items())]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "n_passages", "first_byte"])
@@ -187,7 +187,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher.find(t) for t in texts(batch)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import slices
+
 # Elements of HTML by what they mean for text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -202,7 +204,7 @@ def main_text(pages: DataFrame, table: list[tuple] = LABELLED) -> DataFrame:
     tree = train(table)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(h or "", tree) for h in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

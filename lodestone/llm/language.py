@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, texts
+from lodestone.llm.common import remainder, slices, texts
 
 #: Lower-cases A-Z; ASCII bytes that aren't letters become spaces.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -104,7 +104,7 @@ def train(docs: DataFrame, *, per_language: int = 120, bytes_each: int = 1500, d
     ids = top.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash", "__id"))).filter(F.col("__n") <= per_language).select("__id", F.col("__lang").alias("__of"), "__hash")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             small = [reduced(t) for t in texts(batch)]
             small = [s[(k := max(0, (len(s) - bytes_each) // 2)) : k + bytes_each] for s in small]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["__of", "__hash", "piece"])
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, divisor: int = 3, held_out
 
     def run(batches):
         classifier = shared.value.classifier()
-        for batch in batches:
+        for batch in slices(batches):
             found = [classifier.classify(t) for t in texts(batch)]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_ALNUM, texts
+from lodestone.llm.common import LOWER_ALNUM, slices, texts
 from lodestone.llm.hashing import word_bounds
 
 #: Base phrases and their labels.
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def run(batches):
         scanner = Scanner(templates, phrases)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [scanner.scan(t) for t in texts(batch)]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_templates"]
             base = [sorted({label for _, label in b}) for _, b, _ in rows]

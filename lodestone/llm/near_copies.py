@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
-from lodestone.llm.common import LOWER, texts
+from lodestone.llm.common import LOWER, slices, texts
 from lodestone.llm.hashing import mix, shingle_keys, word_keys
 from lodestone.operators.components import connected_components
 from lodestone.sources.storage import Scratch
@@ -92,7 +92,7 @@ def _linked(frame: DataFrame, percent: int) -> DataFrame:
     """Of rows (a, b, set_a, set_b), those whose exact similarity reaches ``percent``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mask = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -153,7 +153,7 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [(len(k), f, band_keys(sketch(k, bands * rows), bands).view(np.int64) if f else np.empty(0, np.int64)) for k, f in _sets(batch, width)]
             yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
 
@@ -171,7 +171,7 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
     near = bloom.matching(source, "doc_id", bloom.build(wanted, "id"))
 
     def resolve(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(_sets(batch, width))
             yield pa.record_batch([batch.column(0), pa.array([f for _, f in found], pa.binary()), pa.array([k.tobytes() for k, _ in found], pa.binary())], names=["doc_id", "print", "set"])
 

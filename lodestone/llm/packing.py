@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import texts
+from lodestone.llm.common import slices, texts
 from lodestone.llm.tokens import encoder
 from lodestone.sources.storage import Scratch
 
@@ -37,9 +37,9 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> DataFrame:
 
     def run(batches):
         own = encoder(tokenizer)
-        width = 2 if max(own.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(own.largest, end_id) < 1 << 16 else 4
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.concatenate([own.ids(t.decode("utf-8")), end]).astype(f"<u{width}") for t in texts(batch)]
             yield pa.record_batch([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([width] * len(found), pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "n", "width", "ids"])
 
@@ -69,7 +69,7 @@ def pack(encoded: DataFrame, *, window: int = 1024) -> DataFrame:
 
     def cut(batches):
         at, expected, mark, done = None, None, 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             if at is None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, labelled_sample, remainder, sigmoid, texts
+from lodestone.llm.common import LOWER, labelled_sample, remainder, sigmoid, slices, texts
 from lodestone.llm.hashing import mix, word_keys
 
 #: Classes of bytes: capitals, small letters (and all beyond ASCII), digits; white space stays.
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, bits: int =
     """Fits on at most ``bound`` labelled rows; features are made on the executors."""
 
     def featurise(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [slots(t, bits) for t in texts(batch)]
             packed = [np.unique(s, return_counts=True) for s, _ in found]
             yield pa.record_batch(
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: QualityModel, *, divisor: int = 5, held_out: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = np.array([shared.value.score(t) for t in texts(batch)], np.float64)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -112,7 +112,7 @@ def keep(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mask = [shared.value.score(t) >= threshold for t in texts(batch)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import slices
 from lodestone.llm.tokens import encoder
 
 SCHEMA = "doc_id long, field string, ordinal int, first_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long, doc_unassigned long"
@@ -62,7 +63,7 @@ def count(docs: DataFrame, tokenizer: str, *, fields: tuple[str, ...] = ("source
 
     def run(batches):
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             columns = [[v or "" for v in batch.column(k + 1).to_pylist()] for k in range(len(fields) + 1)]
             parts = []
             for row, doc_id in enumerate(batch.column(0).to_pylist()):

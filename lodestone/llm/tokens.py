@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -30,15 +30,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _numbers(vocabulary: dict | list) -> list[int]:
+    return list(vocabulary.values()) if isinstance(vocabulary, dict) else [len(vocabulary) - 1]
+
+
 class TextEncoder:
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast, self.lengths = self._fast(path)
-
-    def _fast(self, path: str) -> tuple[tiktoken.Encoding | None, np.ndarray | None]:
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.largest = max([*_numbers(spec["model"]["vocab"]), *(t["id"] for t in spec.get("added_tokens", []))])
+        self.fast, self.lengths = self._fast(spec)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded only when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
+    def _fast(self, spec: dict) -> tuple[tiktoken.Encoding | None, np.ndarray | None]:
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("ignore_merges")
         if not plain:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_ALNUM, labelled_sample, newton_logistic, remainder, sigmoid, texts
+from lodestone.llm.common import LOWER_ALNUM, labelled_sample, newton_logistic, remainder, sigmoid, slices, texts
 from lodestone.llm.hashing import word_keys
 
 #: Words whose evidence lies within this many standard errors of none are neutral.
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
     sample = labelled_sample(docs, labels, "toxic", divisor, held_out, bound).groupBy("text").agg(F.max("label").alias("label"))
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             label = batch.column(1).to_pylist()
             for y in (0, 1):
                 keys = [np.unique(word_keys(t.translate(LOWER_ALNUM)), return_counts=True) for t, own in zip(texts(batch), label, strict=True) if own == y]
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.passages(t) for t in texts(batch)]
             yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for _, n in found], pa.int64()), pa.array([[s for _, _, s, _ in f] for f, _ in found], pa.list_(pa.float64()))], names=["label", "n", "segments"])
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, divisor: int = 3, held_out:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p, count, first, last = [], [], [], []
             for text in texts(batch):
                 found, n = shared.value.passages(text)
@@ -201,7 +201,7 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *f) for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for f in shared.value.passages(t)[0] if f[3] <= shared.value.evalue]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64())], names=["doc_id", "first_word", "last_word", "score", "e_value"])
@@ -214,7 +214,7 @@ def keep(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mask = [shared.value.probability(*shared.value.passages(t)) < threshold for t in texts(batch)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
