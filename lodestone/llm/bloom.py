@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ class Bloom:
             out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.bool_)
         return out
 
+    def mask(self, ids: pa.Array) -> pa.Array:
+        """The same for a column; nulls are never in the set."""
+        ids = ids.cast(pa.int64())
+        return pa.array(self.holds(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False), pa.bool_())
+
 
 def build(ids: DataFrame, column: str) -> Bloom:
     """The filter of a column's ids; the driver gets one row for each of its words in use."""
@@ -64,8 +70,7 @@ def matching(frame: DataFrame, column: str, bloom: Bloom, inside: bool = True) -
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(place).cast(pa.int64())
-            mask = shared.value.holds(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(mask if inside else ~mask, pa.bool_()))
+            mask = shared.value.mask(batch.column(place))
+            yield batch.filter(mask if inside else pc.invert(mask))
 
     return frame.mapInArrow(run, frame.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,13 +45,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     return docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(ids), "__id").select("text", F.col("__label").alias("label"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    global _libc
+    if _libc is None:
+        _libc = ctypes.CDLL(None)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = None
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows``: texts are long, and whole batches of them,
     with what is made from them, would set a worker's memory. What was freed goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         pa.default_memory_pool().release_unused()
+        _trim()
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:

@@ -168,14 +168,15 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
     members = scratch.save(placed.join(buckets, "key").filter("id <> centre").select("key", "id", "n", "centre", "centre_n"))
     wanted = scratch.save(members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct())
     candidates = classes.select("print", "rep").join(wanted, F.col("rep") == F.col("id"), "left_semi")
-    near = bloom.matching(source, "doc_id", bloom.build(wanted, "id"))
+    near = spark.sparkContext.broadcast(bloom.build(wanted, "id"))
 
     def resolve(batches):
         for batch in slices(batches):
+            batch = batch.filter(near.value.mask(batch.column(0)))
             found = list(_sets(batch, width))
             yield pa.record_batch([batch.column(0), pa.array([f for _, f in found], pa.binary()), pa.array([k.tobytes() for k, _ in found], pa.binary())], names=["doc_id", "print", "set"])
 
-    sets = near.mapInArrow(resolve, "doc_id long, print binary, set binary").withColumnRenamed("print", "own")
+    sets = source.mapInArrow(resolve, "doc_id long, print binary, set binary").withColumnRenamed("print", "own")
     sets = scratch.save(sets.join(candidates, (F.col("doc_id") == F.col("rep")) & (F.col("own") == F.col("print"))).select("rep", "set"))
 
     # 1: every member against its bucket's centre
