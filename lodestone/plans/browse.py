@@ -187,11 +187,11 @@ def _(t):
     return even.union(third).exceptAll(even.intersect(third)).exceptAll(even.intersect(third))
 
 
-@query("range_select", "WITH {files}, p AS (SELECT asset, row_number() OVER (ORDER BY captured, asset) AS n FROM files WHERE camera = '3-MEDIUM' AND captured LIKE '1994%') SELECT asset FROM p WHERE n BETWEEN (SELECT min(n) FROM p WHERE asset % 50 = 3) AND (SELECT min(n) + 20 FROM p WHERE asset % 50 = 3)")
+@query("range_select", "WITH {files}, p AS (SELECT asset, row_number() OVER (ORDER BY captured, asset) AS n FROM files WHERE camera = '3-MEDIUM' AND captured LIKE '1994%') SELECT asset FROM p WHERE n BETWEEN (SELECT min(n) FROM p WHERE asset % 10 = 3) AND (SELECT min(n) + 20 FROM p WHERE asset % 10 = 3)")
 def _(t):
     chosen = t.files.filter("camera = '3-MEDIUM' AND captured LIKE '1994%'")
     key = F.struct("captured", "asset")
-    anchor = chosen.filter("asset % 50 = 3").agg(F.min(key).alias("a"))  # one row
+    anchor = chosen.filter("asset % 10 = 3").agg(F.min(key).alias("a"))  # one row
     later = chosen.join(F.broadcast(anchor), F.struct(chosen["captured"], chosen["asset"]) >= F.col("a"))
     return later.orderBy("captured", "asset").limit(21).select("asset")
 

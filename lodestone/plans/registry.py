@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
-_MODULES = ("browse", "search", "vectors", "people", "work", "ledgers", "values")
+_MODULES = ("browse", "search", "vectors", "people", "work")
 
 
 class Tables:
@@ -42,7 +42,7 @@ class Tables:
 
     @cached_property
     def frames(self) -> DataFrame:
-        return self.events.selectExpr("user_id AS asset", "event_id AS frame", "event_type AS stage", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D AS at")
+        return self.events.selectExpr("user_id AS asset", "event_id AS frame", "event_type AS stage", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D AS secs")
 
     @cached_property
     def speech(self) -> DataFrame:
@@ -61,7 +61,7 @@ SQL = {
     "files": """files AS (SELECT o_orderkey AS asset, '/library/' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.JPG' ELSE '.mp4' END AS path,
         o_orderpriority AS camera, o_orderstatus AS kind, CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE strftime(o_orderdate, '%Y%m%d%H%M%S') END AS captured,
         CASE o_custkey % 3 WHEN 0 THEN 'square' WHEN 1 THEN 'vertical' ELSE 'horizontal' END AS shape, o_orderkey AS arrival FROM orders)""",
-    "frames": "frames AS (SELECT user_id AS asset, event_id AS frame, event_type AS stage, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS at FROM events)",
+    "frames": "frames AS (SELECT user_id AS asset, event_id AS frame, event_type AS stage, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS secs FROM events)",
     "speech": "speech AS (SELECT conv_id AS asset, turn AS ordinal, role AS chunk, text, conv_id * 1000 + turn AS id FROM conversations)",
     "vectors": "vectors AS (SELECT vec_id, vec_id // 5 AS asset, vec_id % 5 AS ordinal, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings)",
 }
