@@ -90,15 +90,15 @@ def _(t):
     return _annotations(t).select(F.explode(F.array_union("tags", F.array("place"))).alias("label")).filter("label <> ''").distinct()
 
 
-@query("label_any_filter", f"WITH {_LABELS} SELECT asset FROM labels WHERE list_has_any(list_append(tags, place), ['copper', 'Brand#13'])")
+@query("label_any_filter", f"WITH {_LABELS} SELECT asset FROM labels WHERE list_has_any(list_append(tags, place), ['promo', 'Brand#13'])")
 def _(t):
-    wanted = F.array(F.lit("copper"), F.lit("Brand#13"))
+    wanted = F.array(F.lit("promo"), F.lit("Brand#13"))
     return _annotations(t).filter(F.arrays_overlap(F.array_union("tags", F.array("place")), wanted)).select("asset")
 
 
-@query("annotation_assets", f"WITH {_LABELS}, x AS (SELECT asset FROM labels WHERE list_contains(tags, 'steel')) SELECT DISTINCT l_orderkey AS asset FROM lineitem WHERE l_partkey IN (SELECT asset FROM x) AND l_linenumber = 1")
+@query("annotation_assets", f"WITH {_LABELS}, x AS (SELECT asset FROM labels WHERE list_contains(tags, 'promo')) SELECT DISTINCT l_orderkey AS asset FROM lineitem WHERE l_partkey IN (SELECT asset FROM x) AND l_linenumber = 1")
 def _(t):
-    tagged = _annotations(t).filter(F.array_contains("tags", "steel")).select(F.col("asset").alias("l_partkey"))
+    tagged = _annotations(t).filter(F.array_contains("tags", "promo")).select(F.col("asset").alias("l_partkey"))
     return t.lineitem.filter("l_linenumber = 1").join(tagged, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("asset")).distinct()
 
 
@@ -187,9 +187,9 @@ def _(t):
     return even.union(third).exceptAll(even.intersect(third)).exceptAll(even.intersect(third))
 
 
-@query("range_select", "WITH {files}, p AS (SELECT asset, row_number() OVER (ORDER BY captured, asset) AS n FROM files WHERE camera = '3-MEDIUM' AND captured LIKE '1994%') SELECT asset FROM p WHERE n BETWEEN (SELECT min(n) FROM p WHERE asset % 10 = 3) AND (SELECT min(n) + 20 FROM p WHERE asset % 10 = 3)")
+@query("range_select", "WITH {files}, p AS (SELECT asset, row_number() OVER (ORDER BY captured, asset) AS n FROM files WHERE camera = '3-MEDIUM' AND captured LIKE '1996%') SELECT asset FROM p WHERE n BETWEEN (SELECT min(n) FROM p WHERE asset % 10 = 3) AND (SELECT min(n) + 20 FROM p WHERE asset % 10 = 3)")
 def _(t):
-    chosen = t.files.filter("camera = '3-MEDIUM' AND captured LIKE '1994%'")
+    chosen = t.files.filter("camera = '3-MEDIUM' AND captured LIKE '1996%'")
     key = F.struct("captured", "asset")
     anchor = chosen.filter("asset % 10 = 3").agg(F.min(key).alias("a"))  # one row
     later = chosen.join(F.broadcast(anchor), F.struct(chosen["captured"], chosen["asset"]) >= F.col("a"))

@@ -29,10 +29,10 @@ def _groups(t):
     return t.lineitem.groupBy((F.col("l_partkey") % 97).alias("grp")).agg(F.count(F.lit(1)).alias("size"), F.countDistinct("l_orderkey").alias("media"), F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("own"))
 
 
-@query("group_review", f"WITH {_GROUPS} SELECT g.grp, size, media, p_name AS cover FROM g LEFT JOIN part ON p_partkey = g.grp WHERE media >= 2 AND own * 2 >= size")
+@query("group_review", f"WITH {_GROUPS} SELECT g.grp, size, media, p_name AS cover FROM g LEFT JOIN part ON p_partkey = g.grp WHERE media >= 2 AND own * 4 >= size")
 def _(t):
     cover = t.part.select(F.col("p_partkey").alias("grp"), F.col("p_name").alias("cover"))
-    return _groups(t).filter("media >= 2 AND own * 2 >= size").join(cover, "grp", "left").select("grp", "size", "media", "cover")
+    return _groups(t).filter("media >= 2 AND own * 4 >= size").join(cover, "grp", "left").select("grp", "size", "media", "cover")
 
 
 @query("group_order", f"WITH {_GROUPS} SELECT grp, media, size FROM g ORDER BY media DESC, size DESC, grp LIMIT 30")
@@ -101,7 +101,7 @@ def _(t):
     return pairs.groupBy("face").agg(F.max(F.round(dot(F.col("vector"), F.col("v")), 6)).alias("sim"))
 
 
-@query("track_vote", "SELECT l_orderkey AS asset, l_linenumber % 2 AS track, max_by(l_suppkey, (CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) * 1000000000 + l_quantity * 1000000 - l_linenumber) AS track_person FROM lineitem GROUP BY ALL")
+@query("track_vote", "SELECT asset, track, person AS track_person FROM (SELECT l_orderkey AS asset, l_linenumber % 2 AS track, l_suppkey AS person, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_returnflag = 'A' DESC, l_quantity DESC, l_linenumber, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1")
 def _(t):
     faces = t.lineitem.select(F.col("l_orderkey").alias("asset"), (F.col("l_linenumber") % 2).alias("track"), F.col("l_linenumber").alias("face"), F.col("l_suppkey").alias("person"), F.when(F.col("l_returnflag") == "A", "confirmed").otherwise("suggested").alias("source"), F.col("l_quantity").alias("sim"))
     return people.track_votes(faces).select("asset", "track", "track_person").distinct()
@@ -126,9 +126,9 @@ def _(t):
     return t.lineitem.filter(people.reliable(c("l_discount") * 10, c("l_quantity"), c("l_tax") * 10, c("l_quantity"))).select(c("l_orderkey").alias("asset"), c("l_linenumber").alias("face"))
 
 
-@query("face_rank", "SELECT p_partkey AS face, round(p_size / 50.0 * least(1.0, p_retailprice / 1000 / 64) * (p_partkey % 10) / 10.0, 6) AS rank FROM part")
+@query("face_rank", "SELECT p_partkey AS face, round(p_size / 50.0 * least(1.0, p_retailprice / 1000 / 64) * (p_partkey % 10) / 10.0, 4) AS rank FROM part")
 def _(t):
-    return t.part.select(F.col("p_partkey").alias("face"), F.round(people.quality_rank(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000, (F.col("p_partkey") % 10) / 10.0), 6).alias("rank"))
+    return t.part.select(F.col("p_partkey").alias("face"), F.round(people.quality_rank(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000, (F.col("p_partkey") % 10) / 10.0), 4).alias("rank"))
 
 
 @query("review_faces", "SELECT l_orderkey AS face, l_quantity AS typical FROM lineitem WHERE l_suppkey = 7 AND l_linenumber = 1 ORDER BY l_quantity DESC, l_orderkey LIMIT 20")
@@ -140,7 +140,7 @@ def _(t):
 def _(t):
     from lodestone.operators.ledgers import merge_people
 
-    labels = t.lineitem.select(F.col("l_suppkey").alias("person"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("face_key"))
+    labels = t.lineitem.select(F.col("l_suppkey").alias("person"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")]).alias("face_key"))
     after, _ = merge_people(labels, into=2, others=[3, 4])
     return after.groupBy("person").agg(F.count(F.lit(1)).alias("labels"))
 
@@ -149,7 +149,7 @@ def _(t):
 def _(t):
     from lodestone.operators.ledgers import merge_people, undo
 
-    labels = t.lineitem.select(F.col("l_suppkey").alias("person"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("face_key"))
+    labels = t.lineitem.select(F.col("l_suppkey").alias("person"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")]).alias("face_key"))
     after, before = merge_people(labels, into=2, others=[3, 4])
     return undo(after, before, "face_key").groupBy("person").agg(F.count(F.lit(1)).alias("labels"))
 

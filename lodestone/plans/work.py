@@ -166,9 +166,9 @@ def _(t):
     return t.events.select("ts").join(F.broadcast(latest)).filter(F.col("ts") + F.expr("INTERVAL 15 DAY") >= F.col("latest")).agg(F.count(F.lit(1)).alias("live"))
 
 
-@query("removed_assets", "SELECT DISTINCT user_id AS asset FROM events WHERE event_id <= 8000 EXCEPT SELECT user_id FROM events WHERE event_id > 8000")
+@query("removed_assets", "SELECT DISTINCT user_id AS asset FROM events WHERE event_id <= 300 EXCEPT SELECT user_id FROM events WHERE event_id > 9700")
 def _(t):
-    old, new = (t.events.filter(c).select(F.col("user_id").alias("asset")).distinct() for c in ("event_id <= 8000", "event_id > 8000"))
+    old, new = (t.events.filter(c).select(F.col("user_id").alias("asset")).distinct() for c in ("event_id <= 300", "event_id > 9700"))
     return old.join(new, "asset", "left_anti")
 
 
