@@ -134,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
     totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not totals[0] or not totals[1]:
         return ToxicityModel()
+    prior = min(prior, 0.005 * (totals[0] + totals[1]))  # a small sample must not drown in its prior
     rate = float(totals[0]) / (totals[0] + totals[1])
     # words whose toxic share is above the whole's, those with most evidence first; a last row keeps the totals
     picked = counts.withColumn("gain", F.col("toxic") - F.lit(rate) * (F.col("toxic") + F.col("clean"))).filter("gain > 0").orderBy(F.desc(F.col("gain") / F.sqrt(F.col("toxic") + F.col("clean"))), "key").limit(vocabulary).select("key", "toxic", "clean").toArrow()
