@@ -89,6 +89,22 @@ def word_keys(data: bytes | np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def prefix_keys(data: bytes, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sizes): the key of each word's first bytes, for each size, and whether the word
+    has that many. A prefix never has the key of a word or of a prefix of another size, but by
+    chance; sizes count bytes and may end within a letter beyond ASCII."""
+    a = np.frombuffer(data, np.uint8)
+    starts, ends = word_bounds(a)
+    keys = np.zeros((len(starts), len(sizes)), np.uint64)
+    power, _ = _powers(max(sizes) + 1)
+    total = np.zeros(len(starts), np.uint64)
+    for j in range(max(sizes)):
+        total = total + (a[np.minimum(starts + j, max(0, len(a) - 1))].astype(np.uint64) + np.uint64(1)) * power[j] if len(a) else total
+        if j + 1 in sizes:
+            keys[:, sizes.index(j + 1)] = mix(mix(total) + np.uint64(j + 1))
+    return keys, (ends - starts)[:, None] >= np.array(sizes)
+
+
 def shingle_keys(words: np.ndarray, width: int) -> np.ndarray:
     """The distinct keys, sorted, of all runs of ``width`` words; of all words if there are fewer."""
     if not len(words):

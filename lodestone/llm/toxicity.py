@@ -3,12 +3,16 @@
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, lower-cased. On a bounded
 sample of labelled rows each word gets the log-odds ratio of toxic against other documents
 under an informative Dirichlet prior (the pooled counts); its lower credible bound, less a
-penalty, is its score, and all words without clear evidence score the penalty alone. A linear
-scan finds every maximal-scoring segment (disjoint passages none of whose extensions or parts
-score higher). Segment scores are calibrated by extreme-value statistics: lambda solves
-sum(p * exp(lambda * s)) = 1 over clean words, K is counted from clean documents, and a passage
-of score S in n words has E-value K * n * exp(-lambda * S). A document's score is a logistic
-map of its best calibrated score and of the number of its significant passages.
+penalty, is its score. Words' prefixes of several sizes are tokens too, each size with its own
+totals, since inflected and compound words are too rare one by one: a word without clear
+evidence takes the score of its longest prefix with some, and the penalty alone if there is
+none. A linear scan finds every maximal-scoring segment (disjoint passages none of whose
+extensions or parts score higher). Segment scores are calibrated by extreme-value statistics:
+lambda solves sum(p * exp(lambda * s)) = 1 over clean words, K is counted from clean documents,
+and a passage of score S in n words has E-value K * n * exp(-lambda * S). As the number of
+passages that score S or more is Poisson with that mean, a document's passages together have the
+evidence max over k of -log P(k or more at the k-th best score). A document's score is a logistic
+map of its best calibrated score, that evidence and the number of its significant passages.
 
 Nulls and edge cases: a null text counts as empty, has no passage and gets the logistic map's
 value for none; a null id is carried along, is not held out and never trains; rows with one id
@@ -25,10 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER_ALNUM, labelled_sample, newton_logistic, remainder, sigmoid, slices, texts
-from lodestone.llm.hashing import word_keys
+from lodestone.llm.hashing import prefix_keys, word_keys
 
 #: Words whose evidence lies within this many standard errors of none are neutral.
 CREDIBLE = 1.645
+#: Bytes of the prefixes that are tokens, longest first.
+PREFIXES = (8, 7, 6, 5)
+
+
+def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(words, 1 + prefixes): the keys of each word and of its prefixes, and which of them it has."""
+    plain = text.translate(LOWER_ALNUM)
+    words = word_keys(plain)
+    keys, has = prefix_keys(plain, PREFIXES)
+    return np.column_stack([words, keys]), np.column_stack([np.ones(len(words), np.bool_), has])
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -72,15 +86,24 @@ class ToxicityModel:
         self.seen = np.zeros(1 << 20, np.bool_)
         self.seen[self.keys >> np.uint64(44)] = True
 
+    def word_items(self, text: bytes) -> np.ndarray:
+        """The place of each word's token among ``keys``: its own, else its longest prefix's; else -1."""
+        keys, has = tokens(text)
+        found = np.full(len(keys), -1)
+        if not len(self.keys):
+            return found
+        for k in range(keys.shape[1]):
+            some = np.flatnonzero((found < 0) & has[:, k] & self.seen[keys[:, k] >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.keys, keys[some, k]), len(self.keys) - 1)
+            same = self.keys[place] == keys[some, k]
+            found[some[same]] = place[same]
+        return found
+
     def word_scores(self, text: bytes) -> np.ndarray:
-        keys = word_keys(text.translate(LOWER_ALNUM))
-        scores = np.full(len(keys), -self.penalty)
-        some = np.flatnonzero(self.seen[keys >> np.uint64(44)])
-        if len(some):
-            place = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
-            same = self.keys[place] == keys[some]
-            scores[some[same]] = self.values[place[same]]
-        return scores
+        return self.scores_of(self.word_items(text))
+
+    def scores_of(self, items: np.ndarray) -> np.ndarray:
+        return np.append(self.values, -self.penalty)[items]
 
     def passages(self, text: bytes) -> tuple[list[tuple[int, int, float, float]], int]:
         """(first word, last word, score, E-value) of every maximal segment, and the words."""
@@ -88,11 +111,14 @@ class ToxicityModel:
         n = len(scores)
         return [(a, b, s, float(self.k * n * np.exp(-self.scale * s))) for a, b, s in maximal_segments(scores)], n
 
-    def describe(self, found: list[tuple[int, int, float, float]], n: int) -> tuple[float, float]:
+    def describe(self, found: list[tuple[int, int, float, float]], n: int) -> tuple[float, float, float]:
         if not found:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         best = max(f[2] for f in found)
-        return min(40.0, max(0.0, self.scale * best - np.log(max(1.0, self.k * n)))), float(np.log1p(sum(f[3] <= self.evalue for f in found)))
+        mean = np.maximum(1e-12, np.sort([f[3] for f in found]))  # E-values, the best passage's first
+        k = np.arange(1, len(mean) + 1)
+        joint = float(np.max(np.where(mean < k, k * np.log(k / mean) - k + mean, 0.0)))  # Chernoff's bound of the Poisson tail
+        return min(40.0, max(0.0, self.scale * best - np.log(max(1.0, self.k * n)))), float(np.log1p(joint)), float(np.log1p(sum(f[3] <= self.evalue for f in found)))
 
     def probability(self, found: list[tuple[int, int, float, float]], n: int) -> float:
         if self.weights is None:
@@ -120,43 +146,52 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
 
     def count(batches):
         for batch in slices(batches):
-            label = batch.column(1).to_pylist()
-            for y in (0, 1):
-                keys = [np.unique(word_keys(t.translate(LOWER_ALNUM)), return_counts=True) for t, own in zip(texts(batch), label, strict=True) if own == y]
-                if keys:
-                    k = np.concatenate([x for x, _ in keys])
-                    n = np.concatenate([np.minimum(c, most_per_document) for _, c in keys])
-                    u, at = np.unique(k, return_inverse=True)
-                    total = np.bincount(at, n, len(u)).astype(np.int64)
-                    yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(total if y else np.zeros_like(total)), pa.array(total if not y else np.zeros_like(total))], names=["key", "toxic", "clean"])
-
-    counts = sample.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    if not totals[0] or not totals[1]:
+            parts = []
+            for y, text in zip(batch.column(1).to_pylist(), texts(batch), strict=True):
+                keys, has = tokens(text)
+                for order in range(keys.shape[1]):
+                    u, n = np.unique(keys[has[:, order], order], return_counts=True)
+                    n = np.minimum(n, most_per_document)
+                    parts.append((u, np.full(len(u), order), n * y, n * (1 - y)))
+            if parts:
+                key, order, toxic, clean = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                u, first, at = np.unique(key, return_index=True, return_inverse=True)
+                total = lambda n: pa.array(np.bincount(at, n, len(u)).astype(np.int64))
+                yield pa.record_batch([pa.array(order[first].astype(np.int32)), pa.array(u.view(np.int64)), total(toxic), total(clean)], names=["order", "key", "toxic", "clean"])
+
+    counts = sample.mapInArrow(count, "order int, key long, toxic long, clean long").groupBy("order", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    totals = {r["order"]: (r["toxic"], r["clean"]) for r in counts.groupBy("order").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
+    if 0 not in totals or not all(totals[0]):
         return ToxicityModel()
-    prior = min(prior, 0.005 * (totals[0] + totals[1]))  # a small sample must not drown in its prior
-    rate = float(totals[0]) / (totals[0] + totals[1])
-    # words whose toxic share is above the whole's, those with most evidence first; a last row keeps the totals
-    picked = counts.withColumn("gain", F.col("toxic") - F.lit(rate) * (F.col("toxic") + F.col("clean"))).filter("gain > 0").orderBy(F.desc(F.col("gain") / F.sqrt(F.col("toxic") + F.col("clean"))), "key").limit(vocabulary).select("key", "toxic", "clean").toArrow()
-    key, t, c = (picked.column(i).to_numpy() for i in range(3))
-    rest_t, rest_c = totals[0] - t.sum(), totals[1] - c.sum()
-    delta, error = log_odds(np.append(t, rest_t).astype(float), np.append(c, rest_c).astype(float), prior)
-    value = (delta - CREDIBLE * error)[:-1]
+    rate = float(totals[0][0]) / sum(totals[0])
+    # tokens whose toxic share is above the whole's, those with most evidence first
+    picked = counts.withColumn("gain", F.col("toxic") - F.lit(rate) * (F.col("toxic") + F.col("clean"))).filter("gain > 0").orderBy(F.desc(F.col("gain") / F.sqrt(F.col("toxic") + F.col("clean"))), "order", "key").limit(vocabulary).select("order", "key", "toxic", "clean").toArrow()
+    order, key, t, c = (picked.column(i).to_numpy() for i in range(4))
+    value = np.zeros(len(key))
+    for own, (all_t, all_c) in totals.items():
+        mine = order == own  # a last token stands for all others
+        few = min(prior, 0.005 * (all_t + all_c))  # a small sample must not drown in its prior
+        delta, error = log_odds(np.append(t[mine], all_t - t[mine].sum()).astype(float), np.append(c[mine], all_c - c[mine].sum()).astype(float), few)
+        value[mine] = (delta - CREDIBLE * error)[:-1]
     use = value > 0.25
-    order = np.argsort(key[use].view(np.uint64))
-    model = ToxicityModel(key[use].view(np.uint64)[order], value[use][order] - penalty, penalty)
-    # lambda and K from clean documents: positive words are rare, so each gets half a count more
-    p = (c[use][order] + 0.5) / (totals[1] + 0.5 * use.sum())
-    model.scale = _scale(p, model.values, max(1e-9, 1 - p.sum()), -penalty)
+    by_key = np.argsort(key[use].view(np.uint64))
+    model = ToxicityModel(key[use].view(np.uint64)[by_key], value[use][by_key] - penalty, penalty)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in slices(batches):
-            found = [shared.value.passages(t) for t in texts(batch)]
-            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for _, n in found], pa.int64()), pa.array([[s for _, _, s, _ in f] for f, _ in found], pa.list_(pa.float64()))], names=["label", "n", "segments"])
+            label, rows = batch.column(1).to_pylist(), []
+            for y, text in zip(label, texts(batch), strict=True):
+                items = shared.value.word_items(text)
+                rows.append((len(items), [s for _, _, s in maximal_segments(shared.value.scores_of(items))], [] if y else items[items >= 0]))
+            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["label", "n", "segments", "items"])
 
-    rows = sample.mapInArrow(measure, "label int, n long, segments array<double>").toArrow().to_pylist()
+    rows = sample.mapInArrow(measure, "label int, n long, segments array<double>, items array<long>").toArrow().to_pylist()
     clean = [r for r in rows if r["label"] == 0]
+    # lambda and K from clean documents: positive words are rare, so each gets half a count more
+    p = np.bincount(np.concatenate([np.array(r["items"], np.int64) for r in clean]), minlength=len(model.keys)) + 0.5
+    p = p / (sum(r["n"] for r in clean) + 0.5 * len(p))
+    model.scale = _scale(p, model.values, max(1e-9, 1 - p.sum()), -penalty)
     floor = 1.0
     hits = sum(sum(s >= floor for s in r["segments"]) for r in clean)
     model.k = float((hits + 1) * np.exp(model.scale * floor) / max(1, sum(r["n"] for r in clean)))

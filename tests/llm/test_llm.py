@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, html, language, licenses, near_copies, packing, quality, token_counts, toxicity, vectors
 from lodestone.llm.common import LOWER
-from lodestone.llm.hashing import SEGMENT, word_keys
+from lodestone.llm.hashing import SEGMENT, prefix_keys, word_keys
 from lodestone.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, print string, component_id string"
@@ -197,6 +197,30 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_of_inflected_words(spark):
+    """No inflected form occurs twice; only their stem tells."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(i, _text(rng, 30) + (" " + " ".join("vermaldé" + word(7) for _ in range(3)) if i % 4 == 0 else " " + word(15)) + " " + _text(rng, 10)) for i in range(400)]
+    docs = _docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i].predicted == int(i % 4 == 0) for i in range(400) if got[i].held_out)
+
+
+def test_prefix_keys_against_slices():
+    words = [w for w in "a bc defgh defghi defghij éàü xyzxyzxyz defgh".encode().split(b" ")]
+    keys, has = prefix_keys(b" ".join(words), (6, 5))
+    seen = {}
+    for k, size in enumerate((6, 5)):
+        for i, w in enumerate(words):
+            assert has[i, k] == (len(w) >= size)
+            if len(w) >= size:
+                assert seen.setdefault((size, w[:size]), keys[i, k]) == keys[i, k]
+    assert len(set(seen.values()) | set(word_keys(b" ".join(words)).tolist())) == len(seen) + len(set(words))
+    assert prefix_keys(b"", (6, 5))[0].shape == (0, 2)
+
+
 def test_maximal_segments_against_recursion():
     def brute(s, a, b):
         best = max(((sum(s[i : j + 1]), -(j - i), -i) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
