@@ -31,7 +31,8 @@ from lodestone.llm.hashing import word_bounds
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and template; the word after ``@`` must occur in a text before the template is tried.
+#: Label and template; the word after ``@``, one of its mandatory words, must occur in a text
+#: before the template is tried.
 TEMPLATES = [
     ("apache-2.0", "@apache {{licensed|released|distributed}} under [[the terms of]] the apache license [[,]] version 2 0"),
     ("apache-2.0", "@spdx spdx license identifier apache 2 0"),
@@ -47,7 +48,7 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by sa 4 0"),
     ("cc-by-nc-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by nc 4 0"),
     ("cc-by-nd-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by nd 4 0"),
-    ("bsd-3-clause", "@redistributions redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<0-120>> neither the name of <<1-12>> nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "@redistribution redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<0-120>> neither the name of <<1-12>> nor the names of its contributors may be used to endorse or promote products"),
     ("copyright-notice", "@copyright copyright [[c]] <<1-8>> all rights reserved"),
 ]
 
@@ -132,6 +133,8 @@ def compile_template(label: str, markup: str) -> Automaton:
             for s in skips:
                 made.empty[s].append(at)
     made.accept = at
+    if anchor not in {p["word"] for p in _PART.finditer(body)}:
+        raise ValueError(f"{anchor!r} is no mandatory word of the template for {label}")
     return made
 
 
@@ -189,5 +192,52 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long")
 
 
+def template_pattern(markup: str) -> tuple[str, list[str]]:
+    """A template as a regular expression over words that each follow a space, and its first words."""
+    body = markup.removeprefix("@").partition(" ")[2]
+    wording = lambda text: "".join(f" {w}" for w in text.encode().translate(LOWER_ALNUM).decode().split())
+    out, first = "", []
+    for part in _PART.finditer(body):
+        choices = [wording(w) for w in (part["either"] or part["word"] or "").split("|")]
+        if part["either"] is not None or part["word"] is not None:
+            first = first or [c.split()[0] for c in choices]
+            out += f"(?:{'|'.join(choices)})"
+        elif part["optional"] is not None:
+            out += f"(?:{wording(part['optional'])})?" if wording(part["optional"]) else ""
+        else:
+            out += f"(?: [^ ]+){{{part['low']},{part['high']}}}"
+    return out, first
+
+
+def op5_sql() -> str:
+    """The rows of op5 by regular expressions; every template must begin with mandatory wording."""
+    places, found, labels = [], [], []
+    for phrase, label in PHRASES.items():
+        here = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"({here})")
+        labels.append(f"CASE WHEN contains(line, ' {phrase} ') THEN '{label}' END")
+    own = []
+    for label, markup in TEMPLATES:
+        pattern, first = template_pattern(markup)
+        starts = ", ".join(f"'{w}'" for w in first)
+        found.append(f"CASE WHEN regexp_matches(line, '{pattern} ') THEN len(list_filter(range(1, len(words) + 1), lambda i: words[i] IN ({starts}) AND regexp_matches(' ' || array_to_string(words[i:i + 250], ' ') || ' ', '^{pattern} '))) ELSE 0 END")
+        own.append(f"CASE WHEN regexp_matches(line, '{pattern} ') THEN '{label}' END")
+    joined = lambda parts: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words
+  FROM documents
+), l AS (
+  SELECT doc_id, words, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w
+), p AS (
+  SELECT *, list_filter(range(1, len(words) + 1), lambda i: {' OR '.join(places)}) AS places, CAST({' + '.join(found)} AS BIGINT) AS n_templates FROM l
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  {joined(labels)} AS base_labels, {joined(labels + own)} AS labels,
+  CASE WHEN n_templates > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score, n_templates
+FROM p
+"""
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_copies": near_copies.OP2_SQL, "op10_vectors": vectors.OP10_SQL}
+    return {"op2_near_copies": near_copies.OP2_SQL, "op5_licenses": licenses.op5_sql(), "op10_vectors": vectors.OP10_SQL}

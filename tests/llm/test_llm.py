@@ -249,6 +249,35 @@ def test_licenses(spark):
     assert ok("a d q z") and ok("a b c e f q r z") and not ok("a b d q z") and not ok("a d z") and not ok("a d q r s z")
 
 
+def test_licenses_against_sql(spark):
+    """Renderings of every template, whole, with one word changed, and repeated, against the regular expressions."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(21)
+    rows = []
+    for _, markup in licenses.TEMPLATES:
+        for _ in range(6):
+            words = []
+            for part in licenses._PART.finditer(markup.partition(" ")[2]):
+                if part["word"] or part["either"]:
+                    words += rng.choice((part["word"] or part["either"]).split("|")).split()
+                elif part["optional"] is not None:
+                    words += part["optional"].split() if rng.random() < 0.5 else []
+                else:
+                    words += [rng.choice(WORDS + ["copyright"]) for _ in range(rng.randrange(int(part["low"]), int(part["high"]) + 2))]
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            text = rng.choice([" ", "\n", ", ", " -"]).join(w.upper() if rng.random() < 0.2 else w for w in words)
+            rows.append((len(rows), _text(rng, 5) + " " + text + (" " + text if rng.random() < 0.3 else "") + " é " + _text(rng, 4)))
+    rows += [(1000, None), (1001, ""), (1002, "cc by cc by"), (1003, "copyright copyright x all rights reserved all rights reserved"), (1004, " !! ")]
+    frame = licenses.scan(_docs(spark, rows))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({licenses.op5_sql()}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in frame.orderBy("doc_id").collect()]
+    assert got == want and {label for label, _ in licenses.TEMPLATES} <= {own for r in got for own in r[6].split(",")}
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body><header>Site name</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site, please accept</div>
     <article><h1>Head &amp; line</h1><p>First  <b>bold</b>\n text.<p>Yes.</p><aside>Related things to read today</aside><p>3 < 4 &eacute;</p><form><label>Mail</label></form></article>
