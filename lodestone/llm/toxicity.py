@@ -32,7 +32,7 @@ from lodestone.llm.common import LOWER_ALNUM, labelled_sample, newton_logistic,
 from lodestone.llm.hashing import prefix_keys, word_keys
 
 #: Words whose evidence lies within this many standard errors of none are neutral.
-CREDIBLE = 1.645
+CREDIBLE = 2.576
 #: Bytes of the prefixes that are tokens, longest first.
 PREFIXES = (8, 7, 6, 5)
 
@@ -135,7 +135,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float) -> tuple[np.nda
     return np.log(a / (nt - a)) - np.log(b / (nc - b)), np.sqrt(1 / a + 1 / b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary: int = 50_000, prior: float = 5000.0, penalty: float = 0.5, most_per_document: int = 3, divisor: int = 3, held_out: int = 1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary: int = 50_000, prior: float = 5000.0, penalty: float = 0.5, most_per_document: int = 1, divisor: int = 3, held_out: int = 1) -> ToxicityModel:
     """Fits on at most ``bound`` labelled rows; equal texts count once.
 
     Words are counted on the executors; at most ``vocabulary`` words (those with the most
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
     value = np.zeros(len(key))
     for own, (all_t, all_c) in totals.items():
         mine = order == own  # a last token stands for all others
-        few = min(prior, 0.005 * (all_t + all_c))  # a small sample must not drown in its prior
+        few = min(prior, 0.05 * (all_t + all_c))  # a small sample must not drown in its prior
         delta, error = log_odds(np.append(t[mine], all_t - t[mine].sum()).astype(float), np.append(c[mine], all_c - c[mine].sum()).astype(float), few)
         value[mine] = (delta - CREDIBLE * error)[:-1]
     use = value > 0.25
