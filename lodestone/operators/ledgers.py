@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,9 +53,11 @@ def retained(snapshots: DataFrame, now: str, newest: int = 3, hours: int = 24, d
     order = [F.desc("created"), F.asc("file")]
     last = past.orderBy(*order).limit(newest).select("file")
 
+    # one aggregate with map-side combining: a month's snapshots are never gathered in one task
+    first = F.min(F.struct((-F.unix_micros(at.cast("timestamp"))).alias("age"), "file")).alias("first")
+
     def tier(unit: str, since) -> DataFrame:
-        w = Window.partitionBy(F.date_trunc(unit, at)).orderBy(*order)
-        return past.filter(at >= since).withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("file")
+        return past.filter(at >= since).groupBy(F.date_trunc(unit, at).alias("bucket")).agg(first).select("first.file")
 
     tiers = [tier("hour", until - F.make_interval(hours=F.lit(hours))), tier("day", until - F.make_interval(days=F.lit(days))), tier("month", until - F.make_interval(months=F.lit(months)))]
     out = snapshots.filter(at > until).select("file").unionByName(last)

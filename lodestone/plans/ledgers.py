@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import ledgers
 from lodestone.operators.ranking import first_per
-from lodestone.plans.registry import query
+from lodestone.plans.registry import REGISTRY, query
 
 
 @query("content_dedup", "SELECT 'sha256:' || sha256(text) AS content, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
@@ -54,8 +54,18 @@ UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_tr
 UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_trunc('day', created) ORDER BY created DESC, file) AS n FROM p WHERE created >= now - INTERVAL 30 DAY) WHERE n = 1
 UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_trunc('month', created) ORDER BY created DESC, file) AS n FROM p WHERE created >= now - INTERVAL 12 MONTH) WHERE n = 1)""")
 def _(t):
+    return _retained(t, t.events.filter("event_id % 20 = 0"))
+
+
+def _retained(t, events):
     now = t.events.agg(F.date_format(F.max("ts") - F.expr("INTERVAL 10 DAY"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    return ledgers.retained(t.events.filter("event_id % 20 = 0").select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("created")), now)
+    return ledgers.retained(events.select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("created")), now)
+
+
+# the query above keeps the subset that its SQL sets; this one decides on every event
+@query("retention_tiers_all", REGISTRY["retention_tiers"][1].replace(" WHERE event_id % 20 = 0", ""))
+def _(t):
+    return _retained(t, t.events)
 
 
 @query("forget_cascade", "SELECT 'lines' AS tab, count(*) AS rows FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT 'files', count(*) FROM orders WHERE o_orderkey % 10 <> 0")
