@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates, text
 from lodestone.operators.nearest import nearest
 from lodestone.operators.ranking import first_per
-from lodestone.plans.registry import query
+from lodestone.plans.registry import REGISTRY, query
 
 _WORDS = r"regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}_]+')"
 _TOKENS = "tokens AS (SELECT id, asset, ordinal, " + _WORDS + " AS w FROM speech)"
@@ -142,8 +142,18 @@ def _(t):
 
 @query("iso_to_sortdate", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS sort_date, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events WHERE event_id % 5 = 0")
 def _(t):
+    return _sort_dates(t.events.filter("event_id % 5 = 0"))
+
+
+def _sort_dates(events):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return t.events.filter("event_id % 5 = 0").select("event_id", dates.sort_date(iso).alias("sort_date"), F.date_format(F.try_to_timestamp(iso), "yyyy-MM-dd HH:mm").alias("shown"))
+    return events.select("event_id", dates.sort_date(iso).alias("sort_date"), F.date_format(F.try_to_timestamp(iso), "yyyy-MM-dd HH:mm").alias("shown"))
+
+
+# the query above keeps the subset that its SQL sets; this one converts every timestamp
+@query("iso_to_sortdate_all", REGISTRY["iso_to_sortdate"][1].replace(" WHERE event_id % 5 = 0", ""))
+def _(t):
+    return _sort_dates(t.events)
 
 
 @query("capture_time_fallback", "SELECT o_orderkey AS asset, CASE WHEN o_orderkey % 3 = 0 THEN 'media' WHEN o_orderkey % 3 = 1 THEN 'exif' ELSE 'file' END AS source, strftime(o_orderdate, '%Y%m%d') AS day FROM orders")

@@ -28,7 +28,7 @@ def _matches_sql(spark, name, rows):
     got = sorted((tuple(_plain(r[c]) for c in wanted.columns) for r in found.collect()), key=repr)
     assert got == sorted((tuple(map(_plain, r)) for r in wanted.fetchall()), key=repr)
     if rows:
-        assert len(got) == connection.sql(f"select count(*) from {rows}").fetchone()[0]
+        assert len(got) == connection.sql(f"select count(*) from {rows}").fetchall()[0][0]
 
 
 def test_retention_of_every_snapshot(spark):
@@ -36,3 +36,7 @@ def test_retention_of_every_snapshot(spark):
     rows = [(1, "2026-09-01 10:00:00"), (2, "2026-09-01 10:59:00"), (3, "2026-09-01 10:59:00"), (4, "2026-08-30 01:00:00"), (5, "2026-08-30 23:00:00"), (6, "2026-09-02 00:00:00"), (7, None)]
     files = spark.createDataFrame(rows, "file long, created string").withColumn("created", F.col("created").cast("timestamp"))
     assert sorted(r.file for r in ledgers.retained(files, "2026-09-01 12:00:00", newest=1).collect()) == [2, 5, 6]
+
+
+def test_every_timestamp_is_converted(spark):
+    _matches_sql(spark, "iso_to_sortdate_all", "events")
