@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.storage import Scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -56,6 +58,25 @@ def ranked(hits: DataFrame, *order: Column | str, limit: int = 60) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """All rows with their place from 1 in one global order, which should leave no ties.
+
+    The rows are range-partitioned, sorted and written once; a partition's places begin after
+    the rows of the partitions before it, so that only one count a partition reaches the driver.
+    """
+    spark = rows.sparkSession
+    at = F.col("__at")
+    # the upper bits number the sorted partition, the lower 33 its rows
+    held = Scratch(spark, "placed").save(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    counts = held.groupBy(F.shiftright(at, 33).alias("part")).count().orderBy("part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["part"], total))
+        total += r["count"]
+    before = F.broadcast(spark.createDataFrame(starts, "__part long, __before long"))
+    return held.join(before, F.shiftright(at, 33) == F.col("__part")).withColumn("place", F.col("__before") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
 def first_per(rows: DataFrame, key: str | Sequence[str], *order: Column | str, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import media
 from lodestone.operators import browse
-from lodestone.operators.ranking import first_per
+from lodestone.operators.ranking import first_per, placed
 from lodestone.operators.scope import Scope
 from lodestone.plans.registry import query
 
@@ -175,6 +175,12 @@ def _(t):
     return ranked(t.files.filter("kind = 'P'").select("path", "captured"), F.col("captured") == "", "captured", "path", limit=200).withColumnRenamed("rank", "place").withColumn("place", F.col("place").cast("long"))
 
 
+# the query above keeps the 200 rows of one kind that its SQL sets; this one places every file
+@query("result_sort_all", "WITH {files} SELECT path, captured, row_number() OVER (ORDER BY captured = '', captured, path) AS place FROM files")
+def _(t):
+    return placed(t.files.select("path", "captured"), F.col("captured") == "", "captured", "path")
+
+
 @query("asset_intersection", "SELECT o_orderkey AS asset FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_discount > 0.08 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity < 5")
 def _(t):
     lines = t.lineitem.withColumnRenamed("l_orderkey", "asset")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import media
 from lodestone.operators import people
-from lodestone.operators.ranking import dot, first_per
+from lodestone.operators.ranking import dot, first_per, placed
 from lodestone.plans.registry import query
 
 
@@ -45,6 +45,12 @@ def _(t):
     return t.customer.orderBy(F.lower("c_name"), "c_custkey").limit(100).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
+# the query above keeps the first 100, which its SQL sets; this one returns everybody
+@query("people_order_all", "SELECT c_custkey AS id, c_name AS name, row_number() OVER (ORDER BY lower(c_name), c_custkey) AS place FROM customer")
+def _(t):
+    return placed(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), F.lower("name"), "id")
+
+
 @query("name_match", "SELECT c_custkey AS id FROM customer WHERE lower(c_name) LIKE '%0012%'")
 def _(t):
     return t.customer.filter(F.lower("c_name").contains("0012")).select(F.col("c_custkey").alias("id"))

@@ -40,3 +40,24 @@ def test_retention_of_every_snapshot(spark):
 
 def test_every_timestamp_is_converted(spark):
     _matches_sql(spark, "iso_to_sortdate_all", "events")
+
+
+@pytest.mark.parametrize("name, rows", [("people_order_all", "customer"), ("result_sort_all", "orders")])
+def test_whole_orders(spark, name, rows):
+    _matches_sql(spark, name, rows)
+
+
+def test_places_over_many_partitions(spark):
+    from lodestone.operators.ranking import placed
+
+    rng = random.Random(4)
+    keys = [(rng.randrange(50), i) for i in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = placed(spark.createDataFrame(keys, "k long, i long").repartition(7), F.desc("k"), "i").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    wanted = {key: n for n, key in enumerate(sorted(keys, key=lambda x: (-x[0], x[1])), 1)}
+    assert {(r.k, r.i): r.place for r in got} == wanted and len(got) == 3000
+    assert placed(spark.createDataFrame([], "k long"), "k").count() == 0
