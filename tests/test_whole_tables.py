@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,22 @@ def test_places_over_many_partitions(spark):
     wanted = {key: n for n, key in enumerate(sorted(keys, key=lambda x: (-x[0], x[1])), 1)}
     assert {(r.k, r.i): r.place for r in got} == wanted and len(got) == 3000
     assert placed(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_suggestions_without_rejected_pairs(spark, block):
+    from lodestone.operators import people
+
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    faces, examples = unit(rng.normal(size=(60, 4))), unit(rng.normal(size=(17, 4)))
+    owner = [i % 6 for i in range(17)]
+    no = {(int(f), int(p)) for f, p in zip(rng.integers(0, 60, 150), rng.integers(0, 6, 150), strict=True)} | {(5, p) for p in range(6)}
+    wanted = {}
+    for i, face in enumerate(faces):
+        best = sorted(((-max(float(face @ e) for e, o in zip(examples, owner, strict=True) if o == p), p) for p in range(6) if (i, p) not in no))
+        if best and -best[0][0] >= 0.45 and (len(best) < 2 or best[1][0] - best[0][0] >= 0.08):
+            wanted[i] = best[0][1]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = people.suggest(frame([(i, v.tolist()) for i, v in enumerate(faces)], "face long, vector array<double>"), frame([(o, v.tolist()) for o, v in zip(owner, examples, strict=True)], "person long, vector array<double>"), block=block, rejected=frame([*no, (None, 1)], "face long, person long"))
+    assert {r.face: r.person for r in found.collect()} == wanted and 5 not in wanted and len(wanted) > 5
