@@ -10,7 +10,7 @@ becomes one space; the accepted blocks are joined by one newline.
 
 Nulls and edge cases: a null html counts as empty; a page without accepted blocks has an empty
 text; broken markup (open tags, cut references, a stray "<") never fails: what cannot be read as
-a tag is text; a null id is carried along; rows with one id are extracted each by its own html.
+a tag is text; an unclosed or self-closed video, svg, button and the like loses its tag only; a null id is carried along; rows with one id are extracted each by its own html.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from lodestone.llm.common import slices
 # Elements of HTML by what they mean for text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|noscript|template|iframe|svg|math|textarea|select|option|button|title|object|canvas|audio|video"
+RAW = "script|style|textarea|title|iframe"  # their text runs to the end tag, or to the end of the page
+HIDDEN = set("noscript template svg math select datalist option button object canvas audio video".split())
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FURNITURE_NAMES = set(
@@ -41,11 +42,13 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skip>{SKIPPED})\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"|<title(?:\s[^>]*)?/>"
+    rf"|<(?P<skip>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})[\s/>]", re.IGNORECASE)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
@@ -136,6 +139,34 @@ def _block_text(parts: list[str]) -> str:
     return " ".join(markup.unescape("".join(parts)).split())
 
 
+def _hidden(tokens: list[re.Match]) -> dict[int, int]:
+    """Where the text goes on after each closed hidden element, by its start tag's place in ``tokens``.
+
+    An element is closed if its end tag comes before its container's; an option, which holds
+    text alone, also ends at the next tag of a block. Of the others only the tag is dropped.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for k, m in enumerate(tokens):
+        name = (m["name"] or "").lower()
+        if not name or name in INLINE or name in VOID:
+            continue
+        depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), -1) if m["end"] else -1
+        if stack and stack[-1][0] == "option" and name != "option" and (depth >= 0 or not m["end"]):
+            out[stack.pop()[1]] = m.start()
+        if depth >= 0:
+            if name in HIDDEN:
+                out[stack[depth][1]] = m.end()
+            del stack[depth:]
+        elif not m["end"] and (name in HIDDEN - {"svg", "math"} or not m["rest"].endswith("/")):
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+                start = stack.pop()[1]
+                if name == "option":
+                    out[start] = m.start()
+            stack.append((name, k))
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, linked words, furniture, article, heading) of each non-empty block."""
     out, parts, linked = [], [], []
@@ -154,13 +185,22 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if links:
             linked.append(text)
 
-    for m in _TOKEN.finditer(page):
+    tokens, hidden = _TOKEN.finditer(page), {}
+    if _HIDDEN.search(page):
+        tokens = list(tokens)
+        hidden = _hidden(tokens)
+    for k, m in enumerate(tokens):
+        if m.start() < at:
+            continue
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if name in HIDDEN:
+            at = hidden.get(k, at) if not m["end"] else at
+            continue
         if name in INLINE:
             if name == "a":
                 links = max(0, links - 1) if m["end"] else links + (not m["rest"].endswith("/"))
