@@ -76,15 +76,16 @@ class Classifier:
         return self.languages[best], score, bool(len(others) and (others.min() - sizes[best]) < self.model.margin * others.min())
 
 
-def train(docs: DataFrame, *, per_language: int = 120, bytes_each: int = 1500, dictionary: int = 96_000, languages: int = 200, divisor: int = 3, held_out: int = 1) -> LanguageModel:
-    """Dictionaries from at most ``per_language`` documents for each of the ``languages`` commonest.
+def train(docs: DataFrame, *, per_language: int = 120, bytes_each: int = 1500, dictionary: int = 96_000, divisor: int = 3, held_out: int = 1) -> LanguageModel:
+    """Dictionaries from at most ``per_language`` documents for each language that has rows.
 
     Every partition sends its ``per_language`` smallest id hashes of a language, from the id
     and lang columns alone; the texts of the chosen ids alone are read after that, with at
-    most ``bytes_each`` bytes from the middle of each. This sample bounds the fit only.
+    most ``bytes_each`` bytes from the middle of each. A language's pieces are joined and cut to
+    ``dictionary`` bytes, 64 of the longest. This sample bounds the fit only.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held_out)).select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("__lang"))
-    names = [r[0] for r in known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(languages).collect()]
+    names = [r[0] for r in known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").collect()]
     if not names:
         return LanguageModel({})
 
