@@ -1,8 +1,11 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of bytes beyond
-ASCII) joined by one space. A test item is searched as passages: the item itself if
-it is short, else overlapping windows of it, so that a copied part is found as well. A passage
+ASCII) joined by one space. A test item is searched as passages: the item itself up to
+``window * 3 // 2`` bytes, and overlapping windows of it if it is longer than ``window``, so that
+a copied part is found as well: any run of about 1.5 windows of a long item, and the first or
+last window of every item that has windows. Shorter parts are not searched. A passage of n
+bytes may differ by n // ``piece`` - 1 byte edits, one in ``piece`` or so. A passage
 with an error budget of k edits is split into k + 1 pieces; a text that holds the passage within
 k edits holds one of the pieces unchanged. One automaton finds all pieces of all passages in a
 text; around each hit Myers' bit-parallel algorithm takes the passage's least edit distance to
@@ -12,7 +15,8 @@ The benchmark is held against all documents in blocks of at most ``block_bytes``
 which bounds what is broadcast; the documents are never shuffled.
 
 Nulls and edge cases: null or empty texts and items match nothing; items of fewer than
-``least_words`` words are too common to be evidence and match nothing; rows with a null id are
+``least_words`` words and ``least_bytes`` bytes are too common to be evidence and match nothing
+(a text in a script without spaces is one word, however long); rows with a null id are
 never matched by id but still filtered by text; repeated items match each under its own id;
 rows with one id are matched each by its own text, and their matches merged.
 """
@@ -42,19 +46,19 @@ class Passage:
     budget: int
 
 
-def passages_of(item: int, text: bytes, *, window: int, piece: int, least_words: int) -> list[Passage]:
+def passages_of(item: int, text: bytes, *, window: int, piece: int, least_words: int, least_bytes: int) -> list[Passage]:
     """An item's passages; windows begin at words and overlap by half."""
     small = reduced(text)
-    if small.count(b" ") + 1 < least_words or not small:
+    if not small or small.count(b" ") + 1 < least_words and len(small) < least_bytes:
         return []
-    parts = [small]
-    if len(small) > window * 3 // 2:
+    parts = [small] if len(small) <= window * 3 // 2 else []
+    if len(small) > window:
         starts, at = [], 0
         while at + window < len(small):
             starts.append(at)
             step = small.find(b" ", at + window // 2)
             at = step + 1 if step >= 0 else len(small)
-        parts = [small[s : s + window].strip() for s in starts] + [small[-window:].strip()]
+        parts += [small[s : s + window].strip() for s in starts] + [small[-window:].strip()]
     return [Passage(item, p, max(0, len(p) // piece - 1)) for p in dict.fromkeys(parts)]
 
 
@@ -98,9 +102,9 @@ def least_distance(masks: dict[int, int], length: int, text: bytes) -> tuple[int
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, bytes]], *, window: int, piece: int, least_words: int) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], *, window: int, piece: int, least_words: int, least_bytes: int) -> None:
         self.ids = [i for i, _ in items]
-        self.passages = [p for k, (_, t) in enumerate(items) for p in passages_of(k, t, window=window, piece=piece, least_words=least_words)]
+        self.passages = [p for k, (_, t) in enumerate(items) for p in passages_of(k, t, window=window, piece=piece, least_words=least_words, least_bytes=least_bytes)]
         self.masks: dict[int, dict[int, int]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for number, p in enumerate(self.passages):
@@ -158,7 +162,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, least_bytes: int = 48, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, distance (the least), n_passages, first_byte (in the reduced text)."""
     result = None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -167,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words)
+            matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words, least_bytes=least_bytes)
             for batch in slices(batches):
                 rows = [(i, matcher.ids[k], *f) for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for k, f in sorted(matcher.find(t).items())]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -180,13 +184,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece:
     return result
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, least_bytes: int = 48, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows in which no item is found, with all their columns."""
     for block in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words)
+            matcher = Matcher(shared.value, window=window, piece=piece, least_words=least_words, least_bytes=least_bytes)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher.find(t) for t in texts(batch)], pa.bool_()))
 
