@@ -16,11 +16,15 @@ listing the pairs of a band's bucket:
 2. Where a bucket's other classes are in one component by then, all of its links are known to
    that component's labels. The rest form groups (components of what buckets they share).
 3. The classes of a group that are outside its largest component are verified against all of
-   the group, block by block: a block has a bounded number of documents and of shingles, and a
-   task takes two blocks. It returns at most as many links as join separate components.
+   the group that are near enough in size, block by block: a block holds a bounded number of
+   documents and of shingles of one range of sizes, and meets blocks of the same and the next
+   range only, since sets whose sizes differ more can't be similar enough. A task takes two
+   blocks and returns at most as many links as join separate components.
 
 Components are labelled by their smallest document. Texts are shuffled only as sets of
 candidates; a Bloom filter of fixed largest size keeps all other documents out of the shuffle.
+Where a text, a bucket or a centre has many rows, these are dealt to several tasks. Tables
+written on the way are dropped as soon as nothing reads them.
 
 Nulls and edge cases: a text that is null or has no words has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is the one element. A null id is linked
@@ -30,16 +34,20 @@ row is returned with its own set size. Equal rows change nothing. An empty table
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bloom
 from lodestone.llm.common import LOWER, slices, texts
 from lodestone.llm.hashing import mix, shingle_keys, word_keys
 from lodestone.operators.components import connected_components
+from lodestone.operators.skew import hot_keys, spread_join
 from lodestone.sources.storage import Scratch
 
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
@@ -159,13 +167,15 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
 
     described = scratch.save(source.mapInArrow(describe, "doc_id long, n_shingles long, print binary, bands array<long>"))
     usable = described.filter(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    classes = scratch.save(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
-    by_print = scratch.save(usable.select("doc_id", "print").join(classes.select("print", "rep"), "print").select("doc_id", "rep").distinct())
+    classes = scratch.save(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
+    common = scratch.save(hot_keys(classes, "print", "copies"))
+    by_print = scratch.save(spread_join(usable.select("doc_id", "print"), classes.select("print", "rep"), "print", "doc_id", common).select("doc_id", "rep").distinct())
 
     # buckets with more than one class, and each bucket's smallest class as its centre
     placed = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
-    buckets = scratch.save(placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("centre")).filter("members > 1").select("key", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")))
-    members = scratch.save(placed.join(buckets, "key").filter("id <> centre").select("key", "id", "n", "centre", "centre_n"))
+    buckets = scratch.save(placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("centre")).filter("members > 1").select("key", "members", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")))
+    full = scratch.save(hot_keys(buckets, "key", "members"))
+    members = scratch.save(spread_join(placed, buckets.drop("members"), "key", "id", full).filter("id <> centre").select("key", "id", "n", "centre", "centre_n"))
     wanted = scratch.save(members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct())
     candidates = classes.select("print", "rep").join(wanted, F.col("rep") == F.col("id"), "left_semi")
     near = spark.sparkContext.broadcast(bloom.build(wanted, "id"))
@@ -177,12 +187,17 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
             yield pa.record_batch([batch.column(0), pa.array([f for _, f in found], pa.binary()), pa.array([k.tobytes() for k, _ in found], pa.binary())], names=["doc_id", "print", "set"])
 
     sets = source.mapInArrow(resolve, "doc_id long, print binary, set binary").withColumnRenamed("print", "own")
-    sets = scratch.save(sets.join(candidates, (F.col("doc_id") == F.col("rep")) & (F.col("own") == F.col("print"))).select("rep", "set"))
+    sets = sets.join(candidates, (F.col("doc_id") == F.col("rep")) & (F.col("own") == F.col("print")))
+    # rows that share an id and a text bring the same set
+    sets = scratch.save(sets.groupBy("rep").agg(F.any_value("set").alias("set")))
+    scratch.drop(classes, wanted, buckets, common)
 
     # 1: every member against its bucket's centre
-    pairs = members.filter(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+    pairs = scratch.save(members.filter(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    centres = scratch.save(hot_keys(pairs.groupBy("a").count(), "a", "count"))
+    both = spread_join(pairs, sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a", "b", centres).join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
     links = scratch.save(_linked(both, percent).distinct())
+    scratch.drop(pairs, centres)
     # rows that share an id join the classes of their texts
     repeated = by_print.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     repeated = by_print.join(repeated, "doc_id").filter("rep <> low").select(F.col("low").alias("src"), F.col("rep").alias("dst"))
@@ -190,46 +205,69 @@ def components(docs: DataFrame, *, width: int = 5, percent: int = 85, bands: int
     labels = connected_components(spark, links)
 
     # 2: buckets whose members, the centre aside, are still in several components
-    labelled = members.select("key", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = scratch.save(members.select("key", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).filter("low < high").select("key", "first")
-    rest = scratch.save(labelled.join(open_keys, "key").select("first", "id", "n", "component"))
+    rest = scratch.save(spread_join(labelled, open_keys, "key", "id", full).select("first", "id", "n", "component"))
+    scratch.drop(members, labelled, full)
     if rest.limit(1).count():
         found = _within_groups(spark, scratch, rest, sets, percent, block_docs, block_shingles)
         labels = connected_components(spark, links.unionByName(found))
 
     # a class's label is that of the smallest document that it reaches
-    final = by_print.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    own_class = scratch.save(hot_keys(by_print.groupBy("rep").count(), "rep", "count"))
+    final = spread_join(by_print, labels.withColumnRenamed("node", "rep"), "rep", "doc_id", own_class, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = described.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    return scratch.save(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    out = scratch.save(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    scratch.keep_only(out)
+    return out
+
+
+def _upto(n: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of 0 to n - 1; an empty array for 0."""
+    return F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), make)
 
 
 def _within_groups(spark: SparkSession, scratch: Scratch, rest: DataFrame, sets: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """Verified links (src, dst) that join components within groups of still open buckets."""
+    """Verified links (src, dst) that join components within groups of still open buckets.
+
+    Documents are binned by the logarithm of their size, so that those similar enough are in
+    one bin or in neighbouring ones. The largest component's documents (main) are only held
+    against the others.
+    """
     group = connected_components(spark, rest.select(F.col("first").alias("src"), F.col("id").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    nodes = scratch.save(rest.select("id", "n", "component").distinct().join(group, "id"))
-    parts = scratch.save(nodes.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")))
-    # the largest component's documents are only held against the others
-    count = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("docs")).otherwise(0)) / block_docs), F.ceil(F.sum(F.when(which, F.col("shingles")).otherwise(0)) / block_shingles)).cast("int")
-    largest = parts.groupBy("grp").agg(F.max(F.struct("docs", F.col("component").alias("most"))).alias("top")).select("grp", F.col("top.most").alias("most"))
-    groups = scratch.save(parts.join(largest, "grp").groupBy("grp", "most").agg(count(F.col("component") == F.col("most")).alias("main_blocks"), count(F.col("component") != F.col("most")).alias("rest_blocks")))
-    placed = nodes.join(groups, "grp").withColumn("main", F.col("component") == F.col("most"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("long")).cast("int"))
-    upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
-    task = lambda i, main, j, side: F.struct(F.col("grp").alias("grp"), i.cast("int").alias("i"), F.lit(main).alias("main"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    own = F.col("own")
-    tasks = F.when(F.col("main"), upto(F.col("rest_blocks"), lambda i: task(i, True, own, F.lit(1)))).otherwise(
-        F.concat(
-            upto(F.col("rest_blocks"), lambda j: task(F.least(own, j), False, F.greatest(own, j), F.when(own <= j, 0).otherwise(1))),
-            upto(F.col("main_blocks"), lambda j: task(own, True, j, F.lit(0))),
-        )
+    step = 1.000001 * math.log(100 / percent)  # wider by more than a rounding error
+    nodes = scratch.save(rest.select("id", "n", "component").distinct().join(group, "id").withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")))
+    parts = scratch.save(nodes.groupBy("grp", "component", "bin").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")))
+    largest = parts.groupBy("grp", "component").agg(F.sum("docs").alias("docs")).groupBy("grp").agg(F.max(F.struct("docs", F.col("component").alias("most"))).alias("top")).select("grp", F.col("top.most").alias("most"))
+    largest = scratch.save(largest)
+    main = F.col("component") == F.col("most")
+    blocks = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("docs")).otherwise(0)) / block_docs), F.ceil(F.sum(F.when(which, F.col("shingles")).otherwise(0)) / block_shingles)).cast("int")
+    sizes = scratch.save(parts.join(largest, "grp").groupBy("grp", "bin").agg(blocks(main).alias("m"), blocks(~main).alias("r")))
+    # each bin's own number of blocks and those of the bins below and above
+    sides = sizes.select("grp", F.explode(F.array(*[F.struct((F.col("bin") - d).alias("bin"), F.lit(d).alias("d"), F.col("m").alias("m"), F.col("r").alias("r")) for d in (-1, 0, 1)])).alias("s")).select("grp", "s.*")
+    of = lambda c, d: F.coalesce(F.max(F.when(F.col("d") == d, F.col(c))), F.lit(0))
+    around = sides.groupBy("grp", "bin").agg(*[of(c, d).alias(f"{c}{d + 1}") for c in "mr" for d in (-1, 0, 1)])
+    placed = nodes.join(largest, "grp").join(around, ["grp", "bin"]).withColumn("main", main)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("m1")).otherwise(F.col("r1")).cast("long")).cast("int"))
+    own, at = F.col("own"), F.col("bin")
+    task = lambda bin_a, a, with_main, bin_b, b, side: F.struct(bin_a.cast("int").alias("bin_a"), a.cast("int").alias("a"), F.lit(with_main).alias("with_main"), bin_b.cast("int").alias("bin_b"), b.cast("int").alias("b"), side.cast("int").alias("side"))
+    rest_near = lambda d: _upto(F.col(f"r{d + 1}"), lambda i: task(at + d, i, True, at, own, F.lit(1)))
+    main_near = lambda d: _upto(F.col(f"m{d + 1}"), lambda j: task(at, own, True, at + d, j, F.lit(0)))
+    of_main = F.concat(*map(rest_near, (-1, 0, 1)))
+    of_rest = F.concat(
+        _upto(F.col("r1"), lambda j: task(at, F.least(own, j), False, at, F.greatest(own, j), F.when(own <= j, 0).otherwise(1))),
+        _upto(F.col("r2"), lambda j: task(at, own, False, at + 1, j, F.lit(0))),
+        _upto(F.col("r0"), lambda i: task(at - 1, i, False, at, own, F.lit(1))),
+        *map(main_near, (-1, 0, 1)),
     )
-    dealt = placed.select("id", "component", F.explode(tasks).alias("t")).select("id", "component", "t.*")
-    ready = dealt.join(sets.select(F.col("rep").alias("id"), "set").groupBy("id").agg(F.any_value("set").alias("set")), "id")
+    dealt = placed.select("id", "component", "grp", F.explode(F.when(F.col("main"), of_main).otherwise(of_rest)).alias("t")).select("id", "component", "grp", "t.*")
+    ready = dealt.join(sets.withColumnRenamed("rep", "id"), "id")
 
     def verify(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "id", "component", "set")), strict=True))
         left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-        same = not table.column("main")[0].as_py() and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        first = {c: table.column(c)[0].as_py() for c in ("with_main", "bin_a", "a", "bin_b", "b")}
+        same = not first["with_main"] and (first["bin_a"], first["a"]) == (first["bin_b"], first["b"])
         found = []
         if left and (same or right):
             keys = lambda side: [np.frombuffer(r[3], np.uint64) for r in side]
@@ -237,7 +275,7 @@ def _within_groups(spark: SparkSession, scratch: Scratch, rest: DataFrame, sets:
         other = left if same else right
         return pa.table([pa.array([left[i][1] for i, _ in found], pa.int64()), pa.array([other[j][1] for _, j in found], pa.int64())], names=["src", "dst"])
 
-    return scratch.save(ready.groupBy("grp", "i", "main", "j").applyInArrow(verify, "src long, dst long"))
+    return scratch.save(ready.groupBy("grp", "bin_a", "a", "with_main", "bin_b", "b").applyInArrow(verify, "src long, dst long"))
 
 
 def keep(docs: DataFrame, **settings) -> DataFrame:
@@ -246,12 +284,15 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
     Rows that repeat an id stay or go together. Only rows whose id may have to go take part in
     the exact join; the others pass from the scan alone.
     """
-    found = components(docs, **settings)
-    gone = Scratch(docs.sparkSession, "near-copies-gone").save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     own = "__near_copies_id"
+    while own in docs.columns or f"{own}_gone" in docs.columns:
+        own += "_"
+    gone_id = f"{own}_gone"
+    found = components(docs, **settings)
+    gone = Scratch(docs.sparkSession, "near-copies-gone").save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
     named = docs.withColumn(own, F.col("doc_id").cast("long"))
-    filter_ = bloom.build(gone, "__gone")
-    maybe = bloom.matching(named, own, filter_).join(gone, F.col(own) == F.col("__gone"), "left_anti")
+    filter_ = bloom.build(gone, gone_id)
+    maybe = bloom.matching(named, own, filter_).join(gone, F.col(own) == F.col(gone_id), "left_anti")
     return bloom.matching(named, own, filter_, inside=False).unionByName(maybe).drop(own)
 
 
