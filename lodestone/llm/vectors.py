@@ -1,21 +1,26 @@
 """Exact top-k search by KD-trees over shards.
 
-Vectors are quantised to floor(256 * x) and compared by integer inner product. Each shard (the
-vectors of one task, in blocks of bounded size) is a KD-tree: nodes split at the median of their
-widest dimension, and every node keeps its tight bounding box. The largest inner product that a
-box allows with a query is the sum of the larger of q * low and q * high over the dimensions.
-Leaves are visited best bound first, in rounds for all queries together; a query is done with a
-shard when no remaining box can beat its kth score. That kth score is carried from shard to
-shard of a task, and begins at the kth score over a bounded sample, which every task gets.
-
-Queries go in blocks of bounded size, each broadcast and held against all rows. Products are
-exact: with float64, sums of integers below 2**53 have no rounding.
+Vectors are quantised to floor(256 * x) and compared by integer inner product. A shard (rows of
+one hash bucket, bounded in number) is a KD-tree: nodes split at the median of their widest
+dimension, and every node, inner ones too, has the tight bounding box and the smallest id of its
+points. The largest inner product that a box allows with a query is the sum of the larger of
+q * low and q * high over the dimensions. Each query goes through the tree best bound first: it
+takes the open node with the largest bound, opens its children or, at a leaf, takes the products;
+it is done when no open node can beat its kth score (or tie with it by a smaller id). All
+queries of a block move in step, so that those at one node share its arithmetic.
+
+Queries are held against shards block by block; no table passes through the driver. First each
+query goes through a pilot, a sample of at most ``pilot`` rows and a sixteenth of the table; its
+kth score there is a true lower bound and goes with the query to every shard, where it closes
+most boxes before any product if vectors are clustered. Products are exact: with float64, sums of
+integers below 2**53 have no rounding.
 
 Nulls and edge cases: a vector that is null, empty, or holds a null or a non-finite component
 takes no part as query or candidate, and neither do rows with a null id; vectors of other
 lengths than the query's are no candidates for it; rows that share an id count as the query's own
 for a query of that id, and each is a candidate of other queries; a query id that occurs more
-than once is asked with each of its vectors and keeps the best scores of all.
+than once is asked with each of its vectors and keeps the best scores of all. Ids below zero are
+ids like others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,63 +30,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCALE = 256.0
-
+from lodestone.sources.storage import Scratch
 
-def _matrix(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, quantised vectors) of the usable rows, by length of vector."""
-    groups: dict[int, tuple[list, list]] = {}
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if i is None or not v or None in v:
-            continue
-        x = np.asarray(v, np.float64)
-        if np.isfinite(x).all():
-            ids, rows = groups.setdefault(len(x), ([], []))
-            ids.append(i)
-            rows.append(np.floor(SCALE * x))
-    return [(np.array(ids, np.int64), np.stack(rows)) for ids, rows in groups.values()]
+SCALE = 256.0
+_LAST = np.iinfo(np.int64).max
 
 
 class Tree:
-    """Leaves of a KD-tree with their boxes; ``order`` lists the points leaf by leaf."""
-
-    def __init__(self, points: np.ndarray, leaf: int) -> None:
-        self.points = points
-        self.leaves: list[np.ndarray] = []
-        todo = [np.arange(len(points))]
+    """A KD-tree in arrays: ``order`` lists the points so that each node has one range of them."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int) -> None:
+        self.points, self.ids = points, ids
+        self.order = np.arange(len(points))
+        self.spans: list[tuple[int, int]] = []
+        self.children: list[tuple[int, int] | None] = []
+        boxes = []
+        todo = [(0, len(points), -1, 0)]
         while todo:
-            at = todo.pop()
-            if len(at) <= leaf:
-                self.leaves.append(at)
-                continue
+            start, end, parent, side = todo.pop()
+            number = len(self.spans)
+            if parent >= 0:
+                pair = list(self.children[parent])
+                pair[side] = number
+                self.children[parent] = tuple(pair)
+            at = self.order[start:end]
             own = points[at]
-            spread = own.max(0) - own.min(0)
-            axis = int(np.argmax(spread))
-            if spread[axis] == 0:  # equal points can't be split
-                self.leaves.extend(at[i : i + leaf] for i in range(0, len(at), leaf))
+            low, high = own.min(0), own.max(0)
+            boxes.append((low, high, ids[at].min()))
+            self.spans.append((start, end))
+            axis = int(np.argmax(high - low))
+            if end - start <= leaf:
+                self.children.append(None)
                 continue
-            middle = len(at) // 2
-            parted = at[np.argpartition(own[:, axis], middle)]
-            todo += [parted[:middle], parted[middle:]]
-        self.low = np.stack([points[a].min(0) for a in self.leaves])
-        self.high = np.stack([points[a].max(0) for a in self.leaves])
+            middle = (end - start) // 2
+            # equal points can't be told apart by place: their halves go by id
+            key = own[:, axis] if high[axis] > low[axis] else ids[at]
+            self.order[start:end] = at[np.argpartition(key, middle)]
+            self.children.append((-1, -1))
+            todo += [(start + middle, end, number, 1), (start, start + middle, number, 0)]
+        self.low, self.high = np.stack([b[0] for b in boxes]), np.stack([b[1] for b in boxes])
+        self.first = np.array([b[2] for b in boxes], np.int64)
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, leaves): the largest inner product that each box allows."""
-        positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-        return positive @ self.high.T + negative @ self.low.T
+    def bounds(self, queries: np.ndarray, nodes: list[int]) -> np.ndarray:
+        """(queries, nodes): the largest inner product that each node's box allows."""
+        return np.maximum(queries, 0) @ self.high[nodes].T + np.minimum(queries, 0) @ self.low[nodes].T
 
 
 class Best:
-    """The k best (score, id) of each query; ties go to the smaller id."""
+    """The k best (score, id) of each query; ties go to the smaller id. ``floor`` and
+    ``floor_id`` are a kth best known from elsewhere."""
 
-    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray) -> None:
-        self.ids, self.k, self.floor = ids, k, floor
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> None:
+        self.ids, self.k, self.floor, self.floor_id = ids, k, floor, floor_id
         self.scores = np.full((len(ids), k), -np.inf)
-        self.names = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.names = np.full((len(ids), k), _LAST)
 
-    def kth(self) -> np.ndarray:
-        return np.maximum(self.scores[:, -1], self.floor)
+    def open(self, at: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether a box with that bound and smallest id can still hold one of the k best."""
+        score, name = self.scores[at, -1], self.names[at, -1]
+        known = (self.floor[at] > score) | ((self.floor[at] == score) & (self.floor_id[at] < name))
+        score, name = np.where(known, self.floor[at], score), np.where(known, self.floor_id[at], name)
+        return (bounds > score) | ((bounds == score) & (first <= name))
 
     def add(self, at: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
         """New candidates ``names`` with (len(at), len(names)) scores; a query's own id is left out."""
@@ -93,92 +102,94 @@ class Best:
         self.names[at] = np.take_along_axis(all_names, order, 1)
 
 
-def search_shard(best: Best, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int) -> int:
+def search_shard(best: Best, queries: np.ndarray, tree: Tree) -> int:
     """Adds a shard's points to the best; returns the number of products that it took."""
-    tree, work = Tree(points, leaf), 0
-    bounds = tree.bounds(queries)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    for step in range(len(tree.leaves)):
-        leaf_of = order[:, step]
-        # a box whose bound equals the kth score can still hold a smaller id
-        open_ = np.flatnonzero(np.take_along_axis(bounds, leaf_of[:, None], 1)[:, 0] >= best.kth())
-        if not len(open_):
-            break
-        for node in np.unique(leaf_of[open_]):
-            at = open_[leaf_of[open_] == node]
-            members = tree.leaves[node]
-            work += len(at) * len(members)
-            best.add(at, queries[at] @ points[members].T, ids[members])
+    waiting = np.full((len(queries), len(tree.spans)), -np.inf)  # bounds of the open nodes
+    waiting[:, 0] = tree.bounds(queries, [0])[:, 0]
+    active, work = np.arange(len(queries)), 0
+    while len(active):
+        node = waiting[active].argmax(1)
+        bound = waiting[active, node]
+        # a node that is not worth opening ends a query, unless another has the same bound and a smaller id
+        some = np.isfinite(bound)
+        useful = some & best.open(active, bound, tree.first[node])
+        tied = some & ~useful & best.open(active, bound, np.full(len(active), np.iinfo(np.int64).min))
+        waiting[active[tied], node[tied]] = -np.inf
+        chosen, at = node[useful], active[useful]
+        waiting[at, chosen] = -np.inf
+        for own in np.unique(chosen):
+            asking = at[chosen == own]
+            if tree.children[own] is None:
+                members = tree.order[slice(*tree.spans[own])]
+                work += len(asking) * len(members)
+                best.add(asking, queries[asking] @ tree.points[members].T, tree.ids[members])
+            else:
+                children = list(tree.children[own])
+                waiting[asking[:, None], np.array(children)[None, :]] = tree.bounds(queries[asking], children)
+        active = active[useful | tied]
     return work
 
 
-def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 50, k: int = 5, leaf: int = 256, shard: int = 65_536, block: int = 2048, pilot: int = 4096) -> DataFrame:
+def _matrices(table: pa.Table, vector: str, *others: str) -> dict[int, tuple[np.ndarray, ...]]:
+    """The other columns and the quantised vectors of the rows, by length of vector."""
+    values = table.column(vector).combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    sizes = values.value_lengths().to_numpy(zero_copy_only=False)
+    flat, starts = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()[:-1]
+    out = {}
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        out[int(size)] = (*(table.column(c).to_numpy()[rows] for c in others), np.floor(SCALE * flat[starts[rows][:, None] + np.arange(size)]))
+    return out
+
+
+def search(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 50, k: int = 5, leaf: int = 128, shard: int = 32_768, block: int = 2048, pilot: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` best among all other rows."""
     spark = vectors.sparkSession
-    source = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    asked = source.filter(F.col("vec_id") % every == 0)
-    # a bounded sample of rows: their kth scores are true lower bounds
-    sample = source.filter(F.col("vec_id").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pilot).toArrow().combine_chunks().to_batches()
-    sampled = [m for b in sample for m in _matrix(b)]
-    result = None
-    for queries in _blocks(asked, block):
-        floors = []
-        for ids, points in queries:
-            start = Best(ids, k, np.full(len(ids), -np.inf))
-            for own, rows in sampled:
-                if rows.shape[1] == points.shape[1]:
-                    search_shard(start, points, own, rows, leaf)
-            floors.append(start.scores[:, -1])
-        shared = spark.sparkContext.broadcast([(i, p, f) for (i, p), f in zip(queries, floors, strict=True)])
-
-        def run(batches, shared=shared):
-            states = [(Best(i, k, f), p) for i, p, f in shared.value]
-            waiting: dict[int, list] = {}
-
-            def flush(width: int) -> None:
-                ids, points = (np.concatenate(x) for x in zip(*waiting.pop(width), strict=True))
-                for best, p in states:
-                    if p.shape[1] == width:
-                        search_shard(best, p, ids, points, leaf)
-
-            for batch in batches:
-                for ids, points in _matrix(batch):
-                    waiting.setdefault(points.shape[1], []).append((ids, points))
-                    if sum(len(x) for x, _ in waiting[points.shape[1]]) >= shard:
-                        flush(points.shape[1])
-            for width in list(waiting):
-                flush(width)
-            for best, _ in states:
-                row, column = np.nonzero(np.isfinite(best.scores))
-                yield pa.record_batch([pa.array(best.ids[row]), pa.array(best.names[row, column]), pa.array(best.scores[row, column].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-        found = source.mapInArrow(run, "query_id long, vec_id long, score long")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    scratch = Scratch(spark, "vectors")
+    usable = F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = scratch.save(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).filter(usable))
+    asked = scratch.save(rows.filter(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("query_id"), "vector"))
+    n = rows.count()
+    blocks = max(1, -(-asked.count() // block))
+    shards = max(1, -(-n // shard), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    names = ["row", "query_id", "vec_id", "score"]
+
+    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if points.num_rows and queries.num_rows:
+            held = _matrices(points, "vector", "vec_id")
+            for size, (row, own_id, floor, floor_id, matrix) in _matrices(queries, "vector", "row", "query_id", "floor", "floor_id").items():
+                if size in held:
+                    ids, own = held[size]
+                    best = Best(own_id, k, floor, floor_id)
+                    search_shard(best, matrix, Tree(own, ids, leaf))
+                    at, column = np.nonzero(np.isfinite(best.scores))
+                    out.append((row[at], own_id[at], best.names[at, column], best.scores[at, column].astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    def held(points: DataFrame, shards: int, queries: DataFrame) -> DataFrame:
+        """Every block of queries against every shard of the points, two at a time in a task."""
+        bucket = lambda column, count: F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        a = points.withColumn("shard", bucket("vec_id", shards)).withColumn("block", each(blocks))
+        b = queries.withColumn("block", bucket("row", blocks)).withColumn("shard", each(shards))
+        return a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(run, ", ".join(f"{c} long" for c in names))
+
+    lowest, last = F.lit(float("-inf")), F.lit(int(_LAST)).cast("long")
+    queries = asked.select("*", lowest.alias("floor"), last.alias("floor_id"))
+    if (sample := min(pilot, n // 16)) > k:
+        # kth bests among a bounded sample are true lower bounds; of equal scores the largest id is the worst
+        first = held(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample), 1, queries)
+        kth = first.groupBy("row").agg(F.min(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+        kth = scratch.save(kth.select("row", F.col("low.score").cast("double").alias("floor"), (-F.col("low.v")).alias("floor_id")))
+        queries = asked.join(kth, "row", "left").select("row", "query_id", "vector", F.coalesce("floor", lowest).alias("floor"), F.coalesce("floor_id", last).alias("floor_id"))
+    found = scratch.save(held(rows, shards, queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(asked: DataFrame, block: int):
-    """The queries in blocks of at most ``block``; the driver holds one block at a time."""
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    ids, rows = [], []
-    for row in asked.toLocalIterator(prefetchPartitions=False):
-        ids.append(row[0])
-        rows.append(row[1])
-        held += 1
-        if held == block:
-            yield _matrix(_as_batch(ids, rows))
-            ids, rows, held = [], [], 0
-    pending = _matrix(_as_batch(ids, rows)) if held else []
-    if pending:
-        yield pending
-
-
-def _as_batch(ids: list, rows: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["vec_id", "vector"])
+    out = scratch.save(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    scratch.keep_only(out)
+    return out
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
