@@ -2,10 +2,10 @@
 
 A page is read as a flat sequence of text blocks: text between block-level tags, with inline
 markup removed. Every block has its number of words and its link density, those of the blocks
-before and after it, and three marks from its surroundings: whether it stands in a container of
-furniture (navigation, footers, adverts, notices, forms, comments and the like, by tag, role,
-class or id), in an article, or is a heading. A CART tree, grown from the labelled table below
-by Gini impurity, decides whether a block belongs to the main text. White space in a block
+before and after it, and one mark: whether it stands in a container of furniture (navigation,
+footers, adverts, notices, forms, comments and the like, by tag, role, class or id), since a short
+advert can't be told from a short paragraph by counts. A CART tree, grown from the labelled table
+below by Gini impurity, decides whether a block belongs to the main text. White space in a block
 becomes one space; the accepted blocks are joined by one newline.
 
 Nulls and edge cases: a null html counts as empty; a page without accepted blocks has an empty
@@ -34,11 +34,13 @@ HIDDEN = set("noscript template svg math select datalist option button object ca
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FURNITURE_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer footnav gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup "
-    "promo promotion promoted recommended related respond replies share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer footnav gdpr login masthead menu menubar modal nav navbar navigation newsletter pager pagination popup "
+    "promo promotion promoted replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that name furniture only as a whole name or with one of the second list.
+FURNITURE_WITH = set("notice notices recommended related respond tags teaser".split())
+FURNITURE_OF = set("articles box content items links list news pages posts reading stories".split())
 ARTICLE_NAMES = set("article articlebody content entry entrycontent main maincontent post postbody story storybody".split())
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,31 +54,33 @@ _HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})[\s/>]", re.IGNORECASE)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "article", "heading")
-#: The labelled table: FEATURES, then 1 for main text.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture")
+#: The labelled table: FEATURES, then 1 for main text. No row knows of an article's tags.
 LABELLED = [
-    # menus, link lists, bread crumbs
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (6, 0.83, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (12, 1.0, 9, 1.0, 11, 1.0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 5, 1.0, 0, 0, 0, 0), (9, 0.9, 60, 0.0, 8, 1.0, 0, 0, 0, 0), (5, 1.0, 3, 0.0, 4, 1.0, 1, 1, 0, 0),
-    # adverts, notices, side bars, forms, comments: by container, whatever their length
-    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (25, 0.1, 40, 0.0, 60, 0.0, 1, 0, 0, 0), (60, 0.0, 80, 0.0, 3, 0.0, 1, 0, 0, 0), (120, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 0), (3, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0, 0),
-    (40, 0.0, 55, 0.0, 62, 0.0, 1, 1, 0, 0), (14, 0.2, 100, 0.0, 12, 0.5, 1, 1, 0, 0), (2, 0.0, 14, 0.0, 45, 0.0, 1, 0, 1, 0), (3, 0.0, 0, 0.0, 20, 0.0, 1, 1, 1, 0), (90, 0.02, 75, 0.0, 88, 0.0, 1, 1, 0, 0),
-    # footers
-    (9, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (6, 0.3, 45, 0.0, 3, 1.0, 1, 0, 0, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (12, 0.4, 4, 1.0, 0, 0.0, 0, 0, 0, 0), (7, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    # short lines of pages without an article
-    (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (5, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 4, 0.5, 3, 0.0, 0, 0, 0, 0), (6, 0.5, 3, 0.0, 4, 0.7, 0, 0, 0, 0), (8, 0.0, 5, 1.0, 4, 0.0, 0, 0, 0, 0),
-    # paragraphs and headings of an article
-    (80, 0.0, 9, 0.0, 95, 0.0, 0, 1, 0, 1), (45, 0.02, 60, 0.0, 30, 0.0, 0, 1, 0, 1), (15, 0.0, 80, 0.0, 2, 0.0, 0, 1, 0, 1), (1, 0.0, 90, 0.0, 60, 0.0, 0, 1, 0, 1), (2, 0.0, 4, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 2, 0.0, 9, 0.0, 0, 1, 0, 1), (9, 0.0, 8, 0.0, 90, 0.0, 0, 1, 1, 1), (4, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1), (12, 0.1, 50, 0.0, 9, 0.0, 0, 1, 0, 1), (7, 0.0, 120, 0.0, 9, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (30, 0.3, 45, 0.0, 60, 0.1, 0, 1, 0, 1), (22, 0.45, 18, 0.2, 40, 0.0, 0, 1, 0, 1), (5, 0.0, 3, 0.0, 0, 0.0, 0, 1, 0, 1), (60, 0.0, 8, 0.0, 6, 0.4, 0, 1, 0, 1),
-    (3, 1.0, 70, 0.0, 85, 0.0, 0, 1, 0, 1), (6, 1.0, 40, 0.0, 4, 0.0, 0, 1, 0, 1), (2, 1.0, 9, 0.0, 33, 0.0, 0, 1, 1, 1), (18, 0.9, 30, 0.1, 44, 0.0, 0, 1, 0, 1), (1, 1.0, 5, 0.0, 6, 0.0, 0, 1, 0, 1),
-    # the same next to link lists inside the article
-    (4, 1.0, 5, 1.0, 6, 1.0, 0, 1, 0, 1), (20, 0.0, 6, 1.0, 4, 1.0, 0, 1, 0, 1), (3, 0.0, 4, 1.0, 5, 1.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1), (1, 0.0, 8, 1.0, 0, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (1, 0.0, 8, 1.0, 0, 0.0, 0, 0, 0, 0), (6, 0.9, 7, 0.8, 2, 0.0, 0, 0, 0, 0),
-    # paragraphs of pages without an article
-    (40, 0.0, 12, 0.0, 55, 0.0, 0, 0, 0, 1), (25, 0.05, 60, 0.0, 20, 0.0, 0, 0, 0, 1), (70, 0.1, 2, 1.0, 80, 0.0, 0, 0, 0, 1), (130, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1), (16, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 64, 0.0, 0, 0, 0, 1), (2, 0.0, 38, 0.0, 41, 0.0, 0, 0, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (7, 0.0, 4, 0.0, 35, 0.0, 0, 0, 1, 1),
-    (33, 0.2, 41, 0.0, 9, 0.0, 0, 0, 0, 1), (18, 0.0, 22, 0.0, 15, 0.0, 0, 0, 0, 1), (21, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 1), (90, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 1), (48, 0.3, 30, 0.1, 52, 0.0, 0, 0, 0, 1),
+    # menus, link lists, bread crumbs: linked, and so are the neighbours
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 0),
+    (6, 0.83, 2, 1.0, 3, 1.0, 0, 0), (12, 1.0, 9, 1.0, 11, 1.0, 0, 0), (4, 1.0, 0, 0.0, 5, 1.0, 0, 0), (9, 0.9, 60, 0.0, 8, 1.0, 0, 0), (2, 1.0, 0, 0.0, 0, 0.0, 0, 0), (5, 1.0, 0, 0.0, 0, 0.0, 0, 0),
+    (2, 1.0, 3, 0.0, 0, 0.0, 0, 0), (3, 1.0, 90, 0.0, 0, 0.0, 0, 0), (7, 0.86, 45, 0.0, 0, 0.0, 0, 0), (14, 0.7, 3, 1.0, 9, 0.6, 0, 0), (22, 0.8, 12, 0.9, 18, 0.8, 0, 0), (4, 0.75, 6, 0.5, 4, 0.8, 0, 0),
+    (2, 1.0, 0, 0.0, 5, 0.0, 0, 0), (3, 1.0, 0, 0.0, 40, 0.0, 0, 0), (8, 0.6, 2, 1.0, 60, 0.0, 0, 0), (10, 0.5, 1, 1.0, 2, 1.0, 0, 0),
+    # plain lines between or beside linked ones: names of sites and menus, signatures
+    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0), (5, 0.0, 1, 1.0, 2, 1.0, 0, 0), (8, 0.0, 2, 1.0, 1, 1.0, 0, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0),
+    (12, 0.0, 4, 1.0, 0, 0.0, 0, 0), (7, 0.0, 2, 1.0, 2, 1.0, 0, 0), (9, 0.3, 4, 1.0, 0, 0.0, 0, 0), (12, 0.4, 4, 1.0, 0, 0.0, 0, 0), (6, 0.0, 1, 1.0, 0, 0.0, 0, 0), (3, 0.0, 6, 0.7, 2, 1.0, 0, 0),
+    (2, 0.0, 2, 1.0, 0, 0.0, 0, 0), (1, 0.0, 3, 1.0, 0, 0.0, 0, 0), (3, 0.0, 1, 1.0, 0, 0.0, 0, 0), (2, 0.0, 8, 0.9, 0, 0.0, 0, 0),
+    # inside furniture by its mark, whatever the counts
+    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0), (25, 0.1, 40, 0.0, 60, 0.0, 1, 0), (60, 0.0, 80, 0.0, 3, 0.0, 1, 0), (120, 0.0, 30, 0.0, 45, 0.0, 1, 0), (3, 0.0, 90, 0.0, 80, 0.0, 1, 0), (40, 0.0, 55, 0.0, 62, 0.0, 1, 0),
+    (14, 0.2, 100, 0.0, 12, 0.5, 1, 0), (2, 0.0, 14, 0.0, 45, 0.0, 1, 0), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0), (90, 0.02, 75, 0.0, 88, 0.0, 1, 0), (9, 0.0, 70, 0.0, 0, 0.0, 1, 0), (10, 0.0, 1, 0.0, 0, 0.0, 1, 0),
+    (2, 0.0, 3, 0.0, 2, 0.0, 1, 0), (16, 0.0, 5, 0.0, 8, 0.0, 1, 0), (12, 0.0, 0, 0.0, 0, 0.0, 1, 0), (30, 0.0, 2, 1.0, 18, 0.0, 1, 0),
+    # paragraphs and headings among plain text, long and short
+    (80, 0.0, 9, 0.0, 95, 0.0, 0, 1), (45, 0.02, 60, 0.0, 30, 0.0, 0, 1), (15, 0.0, 80, 0.0, 2, 0.0, 0, 1), (1, 0.0, 90, 0.0, 60, 0.0, 0, 1), (2, 0.0, 4, 0.0, 1, 0.0, 0, 1), (3, 0.0, 2, 0.0, 9, 0.0, 0, 1),
+    (9, 0.0, 8, 0.0, 90, 0.0, 0, 1), (12, 0.1, 50, 0.0, 9, 0.0, 0, 1), (7, 0.0, 120, 0.0, 9, 0.0, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1), (30, 0.3, 45, 0.0, 60, 0.1, 0, 1), (22, 0.45, 18, 0.2, 40, 0.0, 0, 1),
+    (5, 0.0, 3, 0.0, 0, 0.0, 0, 1), (60, 0.0, 8, 0.0, 6, 0.4, 0, 1), (1, 0.0, 0, 0.0, 18, 0.0, 0, 1), (18, 0.0, 1, 0.0, 0, 0.0, 0, 1), (1, 0.0, 0, 0.0, 1, 0.0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1),
+    (130, 0.0, 0, 0.0, 0, 0.0, 0, 1), (6, 0.0, 50, 0.0, 64, 0.0, 0, 1), (4, 0.0, 0, 0.0, 35, 0.0, 0, 1), (33, 0.2, 41, 0.0, 9, 0.0, 0, 1), (1, 0.0, 6, 0.0, 0, 0.0, 0, 1), (9, 0.2, 7, 0.0, 12, 0.1, 0, 1),
+    # the same beside linked lines, where the other side is plain text
+    (5, 0.0, 2, 1.0, 60, 0.0, 0, 1), (7, 0.0, 1, 1.0, 35, 0.0, 0, 1), (3, 0.0, 1, 1.0, 2, 0.0, 0, 1), (1, 0.0, 1, 1.0, 9, 0.0, 0, 1), (70, 0.1, 2, 1.0, 80, 0.0, 0, 1), (21, 0.0, 1, 1.0, 30, 0.0, 0, 1),
+    (12, 0.0, 45, 0.0, 3, 1.0, 0, 1), (1, 0.0, 30, 0.0, 4, 1.0, 0, 1), (2, 0.0, 3, 0.0, 1, 1.0, 0, 1), (90, 0.0, 5, 1.0, 4, 1.0, 0, 1), (40, 0.0, 2, 1.0, 3, 1.0, 0, 1), (25, 0.0, 1, 1.0, 2, 1.0, 0, 1),
+    (64, 0.0, 3, 1.0, 0, 0.0, 0, 1), (35, 0.05, 2, 1.0, 0, 0.0, 0, 1), (28, 0.0, 0, 0.0, 1, 1.0, 0, 1), (55, 0.1, 0, 0.0, 4, 1.0, 0, 1),
+    # linked lines between paragraphs: headings and references of the article
+    (3, 1.0, 70, 0.0, 85, 0.0, 0, 1), (6, 1.0, 40, 0.0, 14, 0.0, 0, 1), (2, 1.0, 9, 0.0, 33, 0.0, 0, 1), (18, 0.9, 30, 0.1, 44, 0.0, 0, 1), (1, 1.0, 11, 0.0, 12, 0.0, 0, 1), (48, 0.6, 30, 0.1, 52, 0.0, 0, 1),
 ]
 
 
@@ -121,18 +125,19 @@ def train(table: list[tuple] = LABELLED) -> Node:
     return grow(data[:, :-1], data[:, -1])
 
 
-def _names(rest: str) -> tuple[set[str], set[str]]:
-    """Words of class and id (whole names too, without separators), and roles."""
-    words, roles = set(), set()
+def _names(rest: str) -> tuple[set[str], set[str], bool]:
+    """Words of class and id (whole names too, without separators), roles, and whether a name is furniture's."""
+    words, roles, furniture = set(), set(), False
     for m in _NAMED.finditer(rest):
         value = next(g for g in m.groups()[1:] if g is not None)
         if m[1].lower() == "role":
             roles.update(value.lower().split())
         else:
             for name in value.split():
-                words.update(w.lower() for w in _WORD.findall(name))
-                words.add(re.sub(r"[-_]", "", name).lower())
-    return words, roles
+                own = {w.lower() for w in _WORD.findall(name)}
+                words |= own | {re.sub(r"[-_]", "", name).lower()}
+                furniture |= bool(own & FURNITURE_WITH) and not own - FURNITURE_WITH - FURNITURE_OF
+    return words, roles, furniture or bool(words & FURNITURE_NAMES)
 
 
 def _block_text(parts: list[str]) -> str:
@@ -167,16 +172,16 @@ def _hidden(tokens: list[re.Match]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, linked words, furniture, article, heading) of each non-empty block."""
+def blocks(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, words, linked words, furniture) of each non-empty block."""
     out, parts, linked = [], [], []
-    stack: list[tuple[str, int, int, int]] = []  # name, furniture, article, heading
-    state = (0, 0, 0)
+    stack: list[tuple[str, int, int]] = []  # name, furniture, article (whose header is no furniture)
+    state = 0
     links, at = 0, 0
 
     def flush() -> None:
         if parts and (text := _block_text(parts)):
-            out.append((text, len(text.split()), len(_block_text(linked).split()), *state))
+            out.append((text, len(text.split()), len(_block_text(linked).split()), state))
         parts.clear()
         linked.clear()
 
@@ -219,13 +224,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         else:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
                 stack.pop()  # these end where the next one begins
-            outer = stack[-1][1:] if stack else (0, 0, 0)
-            words, roles = _names(m["rest"]) if "=" in m["rest"] else (set(), set())
+            outer = stack[-1][1:] if stack else (0, 0)
+            words, roles, named = _names(m["rest"]) if "=" in m["rest"] else (set(), set(), False)
             article = outer[1] or int(name in ("article", "main") or "main" in roles or bool(words & ARTICLE_NAMES))
-            furniture = outer[0] or int(name in FURNITURE_TAGS or bool(roles & FURNITURE_ROLES) or bool(words & FURNITURE_NAMES) or name == "header" and not article or name == "head")
+            furniture = outer[0] or int(name in FURNITURE_TAGS or bool(roles & FURNITURE_ROLES) or named or name == "header" and not article or name == "head")
             furniture = furniture if name not in ("html", "body") else outer[0]
-            stack.append((name, int(furniture), int(article), int(name in HEADINGS)))
-        state = stack[-1][1:] if stack else (0, 0, 0)
+            stack.append((name, int(furniture), int(article)))
+        state = stack[-1][1] if stack else 0
     if at < len(page):
         add(page[at:])
     flush()
