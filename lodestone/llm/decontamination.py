@@ -2,10 +2,10 @@
 
 Texts are lower-cased and reduced to words (runs of ASCII letters and digits and of bytes beyond
 ASCII) joined by one space. A test item is searched as passages: the item itself up to
-``window * 3 // 2`` bytes, and overlapping windows of it if it is longer than ``window``, so that
+``window * 3 // 2`` characters, and overlapping windows of it if it is longer than ``window``, so that
 a copied part is found as well: any run of about 1.5 windows of a long item, and the first or
 last window of every item that has windows. Shorter parts are not searched. A passage of n
-bytes may differ by n // ``piece`` - 1 byte edits, one in ``piece`` or so. A passage
+characters may differ by n // ``piece`` - 1 edits of a character, one in ``piece`` or so. A passage
 with an error budget of k edits is split into k + 1 pieces; a text that holds the passage within
 k edits holds one of the pieces unchanged. One automaton finds all pieces of all passages in a
 text; around each hit Myers' bit-parallel algorithm takes the passage's least edit distance to
@@ -16,13 +16,15 @@ which bounds what is broadcast; the documents are never shuffled.
 
 Nulls and edge cases: null or empty texts and items match nothing; items of fewer than
 ``least_words`` words and ``least_bytes`` bytes are too common to be evidence and match nothing
-(a text in a script without spaces is one word, however long); rows with a null id are
-never matched by id but still filtered by text; repeated items match each under its own id;
-rows with one id are matched each by its own text, and their matches merged.
+(a text in a script without spaces is one word, however long); rows with a null id have no
+match by id but are still filtered by text; an item with a null id matches under null; repeated
+items match each under its own id; rows with one id are matched each by its own text, and their
+matches merged: the least distance with its place, and the most passages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -43,6 +45,7 @@ def reduced(text: bytes) -> bytes:
 class Passage:
     item: int  # index of the item
     text: bytes
+    letters: str
     budget: int
 
 
@@ -51,32 +54,34 @@ def passages_of(item: int, text: bytes, *, window: int, piece: int, least_words:
     small = reduced(text)
     if not small or small.count(b" ") + 1 < least_words and len(small) < least_bytes:
         return []
-    parts = [small] if len(small) <= window * 3 // 2 else []
-    if len(small) > window:
+    letters = small.decode("utf-8", "replace")
+    parts = [letters] if len(letters) <= window * 3 // 2 else []
+    if len(letters) > window:
         starts, at = [], 0
-        while at + window < len(small):
+        while at + window < len(letters):
             starts.append(at)
-            step = small.find(b" ", at + window // 2)
-            at = step + 1 if step >= 0 else len(small)
-        parts += [small[s : s + window].strip() for s in starts] + [small[-window:].strip()]
-    return [Passage(item, p, max(0, len(p) // piece - 1)) for p in dict.fromkeys(parts)]
+            # the next word after half a window; without one, as in scripts without spaces, half a window on
+            step = letters.find(" ", at + window // 2, at + window)
+            at = step + 1 if step >= 0 else at + window // 2
+        parts += [letters[s : s + window].strip() for s in starts] + [letters[-window:].strip()]
+    return [Passage(item, p.encode(), p, max(0, len(p) // piece - 1)) for p in dict.fromkeys(parts)]
 
 
-def pieces_of(passage: Passage) -> list[tuple[int, bytes]]:
+def pieces_of(passage: Passage) -> list[tuple[int, str]]:
     """(offset, piece) of budget + 1 pieces of nearly equal length."""
-    n, parts = len(passage.text), passage.budget + 1
+    n, parts = len(passage.letters), passage.budget + 1
     cuts = [n * k // parts for k in range(parts + 1)]
-    return [(a, passage.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, passage.letters[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def letter_masks(pattern: bytes) -> dict[int, int]:
-    masks: dict[int, int] = {}
+def letter_masks(pattern: Sequence) -> dict:
+    masks: dict = {}
     for i, letter in enumerate(pattern):
         masks[letter] = masks.get(letter, 0) | 1 << i
     return masks
 
 
-def least_distance(masks: dict[int, int], length: int, text: bytes) -> tuple[int, int]:
+def least_distance(masks: dict, length: int, text: Sequence) -> tuple[int, int]:
     """The least edit distance of the pattern to any part of ``text``, and that part's end.
 
     Vertical differences of the dynamic programme's column are held as bits of two integers.
@@ -105,11 +110,11 @@ class Matcher:
     def __init__(self, items: list[tuple[int, bytes]], *, window: int, piece: int, least_words: int, least_bytes: int) -> None:
         self.ids = [i for i, _ in items]
         self.passages = [p for k, (_, t) in enumerate(items) for p in passages_of(k, t, window=window, piece=piece, least_words=least_words, least_bytes=least_bytes)]
-        self.masks: dict[int, dict[int, int]] = {}
+        self.masks: dict[int, dict] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for number, p in enumerate(self.passages):
             for offset, part in pieces_of(p):
-                where.setdefault(part.decode("latin-1"), []).append((number, offset))
+                where.setdefault(part, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
         for part, uses in where.items():
             self.automaton.add_word(part, (len(part), uses))
@@ -121,28 +126,27 @@ class Matcher:
         found: dict[int, tuple[int, int, int]] = {}
         if not self.passages:
             return found
-        small = reduced(text)
+        small = reduced(text).decode("utf-8", "replace")
         done: set[int] = set()
         tried: dict[int, int] = {}
-        for end, (length, uses) in self.automaton.iter(small.decode("latin-1")):
+        for end, (length, uses) in self.automaton.iter(small):
             for number, offset in uses:
                 if number in done:
                     continue
                 p = self.passages[number]
                 start = end + 1 - length - offset
-                if small[max(0, start) : max(0, start) + len(p.text)] == p.text:
-                    distance, place = 0, max(0, start)
+                if start >= 0 and small.startswith(p.letters, start):
+                    distance = 0
                 else:
                     if tried.get(number) == start:
                         continue
                     tried[number] = start
                     if number not in self.masks:
-                        self.masks[number] = letter_masks(p.text)
-                    low = max(0, start - p.budget)
-                    distance, _ = least_distance(self.masks[number], len(p.text), small[low : start + len(p.text) + p.budget])
-                    place = max(0, start)
+                        self.masks[number] = letter_masks(p.letters)
+                    distance, _ = least_distance(self.masks[number], len(p.letters), small[max(0, start - p.budget) : start + len(p.letters) + p.budget])
                 if distance <= p.budget:
                     done.add(number)
+                    place = len(small[: max(0, start)].encode())
                     old = found.get(p.item)
                     found[p.item] = (distance, 1, place) if old is None else (min(old[0], distance), old[1] + 1, place if distance < old[0] else old[2])
         return found
@@ -165,7 +169,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, least_bytes: int = 48, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, distance (the least), n_passages, first_byte (in the reduced text)."""
     result = None
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     schema = "doc_id long, item_id long, distance int, n_passages int, first_byte long"
     for block in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -181,7 +185,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece:
         result = found if result is None else result.unionByName(found)
     if result is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return result
+    best = F.min(F.struct("distance", "first_byte")).alias("best")
+    merged = result.groupBy("doc_id", "item_id").agg(best, F.max("n_passages").alias("n_passages"))
+    return merged.select("doc_id", "item_id", "best.distance", "n_passages", "best.first_byte")
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, *, window: int = 160, piece: int = 16, least_words: int = 5, least_bytes: int = 48, block_bytes: int = 4 << 20) -> DataFrame:
