@@ -31,8 +31,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     """(text, label) of at most ``bound`` labelled rows outside the held-out fold.
 
     The rows with the smallest hash of their id are taken, so that the sample does not depend
-    on partitions. Where a document has several labels, the largest holds. The sampled ids are
-    at most ``bound`` rows, which is what bounds the broadcast.
+    on partitions. Where a document has several labels, the largest holds; of rows that share an
+    id, one with the smallest text is taken. The sampled ids are at most ``bound`` rows, which
+    is what bounds the broadcast.
     """
     ids = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
@@ -42,7 +43,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(bound)
     )
-    return docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(ids), "__id").select("text", F.col("__label").alias("label"))
+    chosen = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(ids), "__id")
+    return chosen.groupBy("__id").agg(F.min("text").alias("text"), F.max("__label").alias("label")).select("text", "label")
 
 
 def _trim() -> None:

@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, bits: int =
     sample = labelled_sample(docs, labels, "quality", divisor, held_out, bound)
     rows = sample.mapInArrow(featurise, "label int, slots array<int>, vals array<float>").toArrow()
     packed = [(np.asarray(s, np.int64), np.asarray(v, np.float64), y) for y, s, v in zip(*(rows.column(c).to_numpy() if c != "label" else rows.column(c).to_pylist() for c in ("label", "slots", "vals")), strict=True)]
-    packed.sort(key=lambda r: (len(r[0]), r[2], r[0][:8].tolist()))  # the order of rows must not depend on partitions
+    # a total order: the order of rows must not depend on partitions
+    packed.sort(key=lambda r: (len(r[0]), r[2], r[0][:8].tolist(), r[0].tobytes(), r[1].tobytes()))
     return ftrl(packed, bits)
 
 

@@ -25,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER_ALNUM, labelled_sample, newton_logistic, remainder, sigmoid, slices, texts
 from lodestone.llm.hashing import prefix_keys, word_keys
+from lodestone.sources.storage import Scratch
 
 #: Words whose evidence lies within this many standard errors of none are neutral.
 CREDIBLE = 2.576
@@ -126,23 +127,24 @@ class ToxicityModel:
         return float(sigmoid(np.append(self.describe(found, n), 1.0) @ self.weights))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of each word and its standard error, under a Dirichlet prior."""
-    both = toxic + clean
-    alpha = prior * both / both.sum()
-    nt, nc = toxic.sum() + prior, clean.sum() + prior
+def lower_bound(toxic: Column, clean: Column, all_toxic: float, all_clean: float, prior: float) -> Column:
+    """The lower credible bound of a token's log-odds ratio, under a Dirichlet prior of the pooled counts."""
+    alpha = (toxic + clean) * F.lit(prior / (all_toxic + all_clean))
     a, b = toxic + alpha, clean + alpha
-    return np.log(a / (nt - a)) - np.log(b / (nc - b)), np.sqrt(1 / a + 1 / b)
+    ratio = F.log(a / (F.lit(all_toxic + prior) - a)) - F.log(b / (F.lit(all_clean + prior) - b))
+    return ratio - F.lit(CREDIBLE) * F.sqrt(1 / a + 1 / b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary: int = 50_000, prior: float = 5000.0, penalty: float = 0.5, most_per_document: int = 1, divisor: int = 3, held_out: int = 1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, prior: float = 5000.0, penalty: float = 0.5, least: float = 0.25, divisor: int = 3, held_out: int = 1) -> ToxicityModel:
     """Fits on at most ``bound`` labelled rows; equal texts count once.
 
-    Words are counted on the executors; at most ``vocabulary`` words (those with the most
-    toxic evidence) reach the driver. A second pass over the same rows brings one small row
-    for each sampled document for the calibration.
+    Tokens are counted by the documents that hold them, and weighed, on the executors; those
+    whose lower bound exceeds ``least`` reach the driver, each of which needs several toxic
+    documents of the sample. A second pass over the same rows brings one small row for each
+    sampled document for the calibration.
     """
-    sample = labelled_sample(docs, labels, "toxic", divisor, held_out, bound).groupBy("text").agg(F.max("label").alias("label"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(labelled_sample(docs, labels, "toxic", divisor, held_out, bound).groupBy("text").agg(F.max("label").alias("label")))
 
     def count(batches):
         for batch in slices(batches):
@@ -150,32 +152,28 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
             for y, text in zip(batch.column(1).to_pylist(), texts(batch), strict=True):
                 keys, has = tokens(text)
                 for order in range(keys.shape[1]):
-                    u, n = np.unique(keys[has[:, order], order], return_counts=True)
-                    n = np.minimum(n, most_per_document)
-                    parts.append((u, np.full(len(u), order), n * y, n * (1 - y)))
+                    u = np.unique(keys[has[:, order], order])
+                    parts.append((u, np.full(len(u), order), np.full(len(u), y), np.full(len(u), 1 - y)))
             if parts:
                 key, order, toxic, clean = (np.concatenate([p[k] for p in parts]) for k in range(4))
                 u, first, at = np.unique(key, return_index=True, return_inverse=True)
                 total = lambda n: pa.array(np.bincount(at, n, len(u)).astype(np.int64))
                 yield pa.record_batch([pa.array(order[first].astype(np.int32)), pa.array(u.view(np.int64)), total(toxic), total(clean)], names=["order", "key", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "order int, key long, toxic long, clean long").groupBy("order", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = {r["order"]: (r["toxic"], r["clean"]) for r in counts.groupBy("order").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
+    counts = scratch.save(sample.mapInArrow(count, "order int, key long, toxic long, clean long").groupBy("order", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    totals = {r["order"]: (float(r["toxic"]), float(r["clean"])) for r in counts.groupBy("order").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
     if 0 not in totals or not all(totals[0]):
+        scratch.keep_only()
         return ToxicityModel()
-    rate = float(totals[0][0]) / sum(totals[0])
-    # tokens whose toxic share is above the whole's, those with most evidence first
-    picked = counts.withColumn("gain", F.col("toxic") - F.lit(rate) * (F.col("toxic") + F.col("clean"))).filter("gain > 0").orderBy(F.desc(F.col("gain") / F.sqrt(F.col("toxic") + F.col("clean"))), "order", "key").limit(vocabulary).select("order", "key", "toxic", "clean").toArrow()
-    order, key, t, c = (picked.column(i).to_numpy() for i in range(4))
-    value = np.zeros(len(key))
+    value = F.lit(None).cast("double")
     for own, (all_t, all_c) in totals.items():
-        mine = order == own  # a last token stands for all others
-        few = min(prior, 0.05 * (all_t + all_c))  # a small sample must not drown in its prior
-        delta, error = log_odds(np.append(t[mine], all_t - t[mine].sum()).astype(float), np.append(c[mine], all_c - c[mine].sum()).astype(float), few)
-        value[mine] = (delta - CREDIBLE * error)[:-1]
-    use = value > 0.25
-    by_key = np.argsort(key[use].view(np.uint64))
-    model = ToxicityModel(key[use].view(np.uint64)[by_key], value[use][by_key] - penalty, penalty)
+        if all_t and all_c:
+            few = min(prior, 0.05 * (all_t + all_c))  # a small sample must not drown in its prior
+            value = F.when(F.col("order") == own, lower_bound(F.col("toxic"), F.col("clean"), all_t, all_c, few)).otherwise(value)
+    picked = counts.select("key", value.alias("value")).filter(F.col("value") > least).toArrow()
+    key, value = picked.column(0).to_numpy(), picked.column(1).to_numpy()
+    by_key = np.argsort(key.view(np.uint64))
+    model = ToxicityModel(key.view(np.uint64)[by_key], value[by_key] - penalty, penalty)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -187,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 6000, vocabulary:
             yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["label", "n", "segments", "items"])
 
     rows = sample.mapInArrow(measure, "label int, n long, segments array<double>, items array<long>").toArrow().to_pylist()
+    scratch.keep_only()
     clean = [r for r in rows if r["label"] == 0]
     # lambda and K from clean documents: positive words are rare, so each gets half a count more
     p = np.bincount(np.concatenate([np.array(r["items"], np.int64) for r in clean]), minlength=len(model.keys)) + 0.5
