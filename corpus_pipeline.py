@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.keep_only(docs)  # what the stage before wrote is not read again
     return docs
