@@ -76,13 +76,13 @@ class Classifier:
         return self.languages[best], score, bool(len(others) and (others.min() - sizes[best]) < self.model.margin * others.min())
 
 
-def train(docs: DataFrame, *, per_language: int = 120, bytes_each: int = 1500, dictionary: int = 96_000, divisor: int = 3, held_out: int = 1) -> LanguageModel:
+def train(docs: DataFrame, *, per_language: int = 120, divisor: int = 3, held_out: int = 1) -> LanguageModel:
     """Dictionaries from at most ``per_language`` documents for each language that has rows.
 
     Every partition sends its ``per_language`` smallest id hashes of a language, from the id
-    and lang columns alone; the texts of the chosen ids alone are read after that, with at
-    most ``bytes_each`` bytes from the middle of each. A language's pieces are joined and cut to
-    ``dictionary`` bytes, 64 of the longest. This sample bounds the fit only.
+    and lang columns alone; the texts of the chosen ids alone are read after that. A language's
+    dictionary is the whole distinct texts, reduced and joined; of rows that share an id one with
+    the smallest text is taken. This sample bounds the fit only.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held_out)).select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("__lang"))
     names = [r[0] for r in known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").collect()]
@@ -104,16 +104,18 @@ def train(docs: DataFrame, *, per_language: int = 120, bytes_each: int = 1500, d
     top = known.mapInArrow(smallest, "__id long, __lang string, __hash long").distinct()
     ids = top.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash", "__id"))).filter(F.col("__n") <= per_language).select("__id", F.col("__lang").alias("__of"), "__hash")
 
-    def cut(batches):
+    def reduce(batches):
         for batch in slices(batches):
-            small = [reduced(t) for t in texts(batch)]
-            small = [s[(k := max(0, (len(s) - bytes_each) // 2)) : k + bytes_each] for s in small]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(small, pa.binary())], names=["__of", "__hash", "piece"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([reduced(t) for t in texts(batch)], pa.binary())], names=["__of", "__hash", "piece"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(ids), "__id").select("__of", "__hash", "text").mapInArrow(cut, "__of string, __hash long, piece binary").toArrow().to_pylist()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(ids), "__id").groupBy("__id", "__of", "__hash").agg(F.min("text").alias("text"))
+    rows = chosen.select("__of", "__hash", "text").mapInArrow(reduce, "__of string, __hash long, piece binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["__of"], r["__hash"], r["piece"]))
-    content = {n: b" ".join(dict.fromkeys(r["piece"] for r in rows if r["__of"] == n))[:dictionary] for n in names}
-    return LanguageModel({n: c for n, c in content.items() if len(c) >= 8})
+    content: dict[str, list[bytes]] = {n: [] for n in names}
+    for r in rows:
+        content[r["__of"]].append(r["piece"])
+    # zstandard takes no dictionary of fewer than eight bytes: spaces, which no word holds, fill it
+    return LanguageModel({n: b" ".join(dict.fromkeys(p for p in parts if p)).rjust(8) for n, parts in content.items()})
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, divisor: int = 3, held_out: int = 1) -> DataFrame:
