@@ -28,10 +28,19 @@ def origin(path: Column, camera: Column) -> Column:
     return F.when(F.lower(path).endswith(".png"), "screen").when(F.coalesce(camera, F.lit("")) == "", "other").otherwise("camera")
 
 
-def device_name(url: Column) -> Column:
-    """The first path segment, else the host, else Unknown."""
-    some = lambda c: F.when(c != "", c)
-    return F.coalesce(some(F.regexp_extract(url, r"^[a-z]+://[^/]+/([^/?#]+)", 1)), some(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)), F.lit("Unknown"))
+def device_name(url: Column, source: Column, camera: Column, details: Column) -> Column:
+    """The folder below the last Originals folder of the path, unless that is the cloud's or the
+    item came from there; else the camera; else, where no camera was read, the last of several
+    details; else a stand-in."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    parts = F.reverse(F.filter(F.split(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/"), lambda p: p != ""))
+    place = F.array_position(parts, "Originals").cast("int")
+    below = F.when(place > 1, F.try_element_at(parts, place - 1))
+    cloud = F.coalesce(source, F.lit("")) == "iCloud"
+    folder = F.when(~cloud & ~below.isin("iCloud", "iCloud-Photos"), below)
+    detail = F.when(camera.isNull() & (F.size(details) > 1), F.element_at(details, -1))
+    stand_in = F.when(cloud | F.coalesce(F.array_contains(parts, "iCloud"), F.lit(False)), "iCloud · Device unavailable").otherwise("Unknown device")
+    return F.coalesce(folder, F.when(camera != "", camera), detail, stand_in)
 
 
 def title(url: Column) -> Column:
@@ -58,11 +67,13 @@ def move(chosen: Column, place: int, by: int) -> Column:
 
 
 def gps_label(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column, status: Column) -> Column:
-    """Degrees with hemisphere; null for a void fix, for zero-zero and beyond the globe."""
+    """Degrees with hemisphere; null for a void fix, a missing or unknown hemisphere, negative parts,
+    zero-zero and beyond the globe."""
     degrees = lambda dms: dms[0] + dms[1] / 60 + dms[2] / 3600
-    a, b = degrees(lat), degrees(lon)
-    bad = (F.coalesce(status, F.lit("A")) == "V") | ((a == 0) & (b == 0)) | (a > 90) | (b > 180) | a.isNull() | b.isNull()
-    return F.when(~bad, F.format_string("%.3f°%s %.3f°%s", a, F.upper(lat_ref), b, F.upper(lon_ref)))
+    a, b, north, east = degrees(lat), degrees(lon), F.upper(lat_ref), F.upper(lon_ref)
+    fine = (F.coalesce(F.upper(status), F.lit("A")) != "V") & north.isin("N", "S") & east.isin("E", "W") & (a <= 90) & (b <= 180) & ((a != 0) | (b != 0))
+    fine = fine & F.forall(F.concat(lat, lon), lambda x: x >= 0)
+    return F.when(fine, F.format_string("%.3f°%s %.3f°%s", a, north, b, east))
 
 
 def frame_rate(text: Column) -> Column:
@@ -70,7 +81,7 @@ def frame_rate(text: Column) -> Column:
     part = F.split(text, "/")
     number = lambda i: F.try_element_at(part, F.lit(i)).try_cast("double")
     rate = F.when(F.size(part) == 2, F.try_divide(number(1), number(2))).when(F.size(part) == 1, number(1))
-    return F.coalesce(rate, F.lit(0.0))
+    return F.when(rate > 0, rate).otherwise(0.0)
 
 
 def last_frame_time(seconds: Column, rate: Column) -> Column:

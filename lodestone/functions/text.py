@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -35,16 +36,9 @@ def words(text: Column) -> Column:
 
 
 def query_words(text: str) -> list[str]:
-    """The same for one query, on the driver."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
-    out, word = [], ""
-    for c in folded + " ":
-        if c.isalnum() or c == "_":
-            word += c
-        elif word:
-            out.append(word)
-            word = ""
-    return out
+    """The same for one query, on the driver, by the same table of letters."""
+    plain = text.lower().replace("ß", "ss").translate(str.maketrans(_FROM, _TO))
+    return re.findall(r"\w+", "".join(c for c in plain if not unicodedata.category(c).startswith("M")))
 
 
 def matches(tokens: Column, terms: list[str], last_is_prefix: bool = True) -> Column:

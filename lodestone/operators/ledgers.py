@@ -45,10 +45,14 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.when(F.col("__n") > 0, F.col("__n"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.col("__n") < 0, -F.col("__n"))), F.lit(0)).alias("extra"))
 
 
-def retained(snapshots: DataFrame, now: str, newest: int = 3, hours: int = 24, days: int = 30, months: int = 12) -> DataFrame:
+def retained(snapshots: DataFrame, now: str, newest: int = 3, hours: int = 24, days: int = 30, months: int = 12, identity: str | None = None, current: str | int | None = None) -> DataFrame:
     """Snapshots (file, created) to keep: the newest ones, and the newest of each hour, day and
-    month bucket (UTC) inside its window; snapshots from the future stay."""
+    month bucket (UTC) inside its window; snapshots from the future stay. With ``identity`` only
+    snapshots with that value in their ``identity`` column may go, and ``current`` never goes."""
     at, until = F.col("created"), F.lit(now).cast("timestamp")
+    everything = snapshots
+    if identity is not None:
+        snapshots = snapshots.filter(F.col("identity") == identity)
     past = snapshots.filter(at <= until)
     order = [F.desc("created"), F.asc("file")]
     last = past.orderBy(*order).limit(newest).select("file")
@@ -63,4 +67,8 @@ def retained(snapshots: DataFrame, now: str, newest: int = 3, hours: int = 24, d
     out = snapshots.filter(at > until).select("file").unionByName(last)
     for part in tiers:
         out = out.unionByName(part)
+    if identity is not None:
+        out = out.unionByName(everything.filter(~F.col("identity").eqNullSafe(F.lit(identity))).select("file"))
+    if current is not None:
+        out = out.unionByName(everything.filter(F.col("file") == current).select("file"))
     return out.distinct()

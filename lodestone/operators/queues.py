@@ -34,3 +34,57 @@ def sessions(readings: DataFrame, key: str, at: str, gap_seconds: float) -> Data
     begins = F.coalesce((seconds(F.col(at)) - seconds(F.lag(at).over(w)) > gap_seconds).cast("int"), F.lit(1))
     numbered = readings.withColumn("__begins", begins).withColumn("__session", F.sum("__begins").over(w))
     return numbered.groupBy(key, "__session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("readings")).drop("__session")
+
+
+def advanced(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Jobs (asset, state, attempts) after a round of outcomes (asset, ok), of which lost workers
+    bring none: running jobs complete, or fail and count an attempt; those without an outcome are
+    queued again, as are errors with attempts left; other states stay."""
+    both = jobs.join(outcomes, "asset", "left")
+    ran, failed = F.col("state") == "running", F.col("ok").isNotNull() & ~F.col("ok")
+    attempts = F.col("attempts") + F.when(ran & failed, 1).otherwise(0)
+    state = F.when(ran & F.col("ok"), "complete").when(ran & failed, F.when(attempts < MOST_ATTEMPTS, "queued").otherwise("error")).when(ran, "queued")
+    state = state.when((F.col("state") == "error") & (F.col("attempts") < MOST_ATTEMPTS), "queued").otherwise(F.col("state"))
+    return both.select("asset", state.alias("state"), attempts.cast("int").alias("attempts"))
+
+
+#: Hours after which every asset is examined, whatever the history says.
+FULL_PASS_HOURS = 6
+
+
+def assets_to_examine(assets: DataFrame, history: DataFrame, token: int | None, hours_since_full: float | None, same_range: bool = True) -> DataFrame:
+    """The assets of an import pass: those changed after ``token``, or all of them if there is no
+    token, the range changed, the last full pass is too old, or the history before the token is gone.
+
+    ``history``: sequence, asset, kind (inserted, updated or removed). Only its least sequence
+    reaches the driver.
+    """
+    usable = token is not None and same_range and hours_since_full is not None and hours_since_full < FULL_PASS_HOURS
+    oldest = history.agg(F.min("sequence")).first()[0] if usable else None
+    if not usable or oldest is None or oldest > token + 1:
+        return assets.select("asset").distinct()
+    return history.filter((F.col("sequence") > token) & F.col("kind").isin("inserted", "updated")).select("asset").distinct()
+
+
+# When a base is rebuilt.
+PENDING_ASSETS, OVERLAY_ROWS, COMPACTION_HOURS = 512, 16_384, 12
+
+
+def compaction_due(changes: DataFrame, bases: DataFrame) -> DataFrame:
+    """``bases`` (base, checkpoint, hours; a null checkpoint is none yet) with due: never built, many
+    assets or rows pending, or half a day old with anything pending. ``changes``: sequence, asset.
+
+    Pending counts are taken by range of checkpoints, one pass over the changes; ``bases`` is a
+    small table of states, one for each base.
+    """
+    marks = bases.select("base", "checkpoint").filter("checkpoint IS NOT NULL")
+    pending = changes.join(F.broadcast(marks), F.col("sequence") > F.col("checkpoint")).groupBy("base").agg(F.countDistinct("asset").alias("assets"), F.count(F.lit(1)).alias("rows"))
+    due = F.col("checkpoint").isNull() | (F.col("assets") >= PENDING_ASSETS) | (F.col("rows") >= OVERLAY_ROWS) | ((F.col("hours") >= COMPACTION_HOURS) & (F.col("rows") > 0))
+    return bases.join(pending, "base", "left").select("base", F.coalesce(due, F.lit(False)).alias("due"))
+
+
+def units_in_force(seeds: DataFrame, incremental: DataFrame) -> DataFrame:
+    """Seeded and incremental units (asset, stage, ordinal, payload); the incremental one wins."""
+    both = seeds.withColumn("side", F.lit(0)).unionByName(incremental.withColumn("side", F.lit(1)))
+    best = both.groupBy("asset", "stage", "ordinal").agg(F.max(F.struct("side", "payload")).alias("u"))
+    return best.select("asset", "stage", "ordinal", F.col("u.payload").alias("payload"))

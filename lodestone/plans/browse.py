@@ -118,11 +118,6 @@ def _(t):
     return t.files.select("asset", media.origin(path, camera).alias("origin"))
 
 
-@query("device_name", r"""SELECT page_id, COALESCE(NULLIF(regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1), ''), NULLIF(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), 'Unknown') AS device FROM pages""")
-def _(t):
-    return t.pages.select("page_id", media.device_name(F.col("url")).alias("device"))
-
-
 @query("display_title", r"SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS title, concat_ws(' · ', CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'place' END, CAST(page_id AS VARCHAR)) AS subtitle FROM pages")
 def _(t):
     return t.pages.select("page_id", media.title(F.col("url")).alias("title"), media.subtitle(F.when(F.col("page_id") % 3 != 0, "place"), F.col("page_id").cast("string")).alias("subtitle"))
@@ -168,14 +163,6 @@ def _(t):
     return browse.facets(t.files.join(deleted.unionByName(hidden), "asset", "left_anti"), "camera")
 
 
-@query("result_sort", "WITH {files} SELECT path, captured, row_number() OVER (ORDER BY captured = '', captured, path) AS place FROM files WHERE kind = 'P' ORDER BY place LIMIT 200")
-def _(t):
-    from lodestone.operators.ranking import ranked
-
-    return ranked(t.files.filter("kind = 'P'").select("path", "captured"), F.col("captured") == "", "captured", "path", limit=200).withColumnRenamed("rank", "place").withColumn("place", F.col("place").cast("long"))
-
-
-# the query above keeps the 200 rows of one kind that its SQL sets; this one places every file
 @query("result_sort_all", "WITH {files} SELECT path, captured, row_number() OVER (ORDER BY captured = '', captured, path) AS place FROM files")
 def _(t):
     return placed(t.files.select("path", "captured"), F.col("captured") == "", "captured", "path")

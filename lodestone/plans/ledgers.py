@@ -48,13 +48,13 @@ def _(t):
     return frames.filter("n = 3 AND d = 3 AND last = 3").select("asset")
 
 
-@query("retention_tiers", """WITH s AS (SELECT event_id AS file, ts AS created, (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS now FROM events WHERE event_id % 20 = 0), p AS (SELECT * FROM s WHERE created <= now)
+@query("retention_tiers", """WITH s AS (SELECT event_id AS file, ts AS created, (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS now FROM events), p AS (SELECT * FROM s WHERE created <= now)
 SELECT DISTINCT file FROM (SELECT file FROM s WHERE created > now UNION ALL SELECT file FROM (SELECT file, row_number() OVER (ORDER BY created DESC, file) AS n FROM p) WHERE n <= 3
 UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_trunc('hour', created) ORDER BY created DESC, file) AS n FROM p WHERE created >= now - INTERVAL 24 HOUR) WHERE n = 1
 UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_trunc('day', created) ORDER BY created DESC, file) AS n FROM p WHERE created >= now - INTERVAL 30 DAY) WHERE n = 1
 UNION ALL SELECT file FROM (SELECT file, row_number() OVER (PARTITION BY date_trunc('month', created) ORDER BY created DESC, file) AS n FROM p WHERE created >= now - INTERVAL 12 MONTH) WHERE n = 1)""")
 def _(t):
-    return _retained(t, t.events.filter("event_id % 20 = 0"))
+    return _retained(t, t.events)
 
 
 def _retained(t, events):
@@ -62,8 +62,8 @@ def _retained(t, events):
     return ledgers.retained(events.select(F.col("event_id").alias("file"), F.col("ts").cast("timestamp").alias("created")), now)
 
 
-# the query above keeps the subset that its SQL sets; this one decides on every event
-@query("retention_tiers_all", REGISTRY["retention_tiers"][1].replace(" WHERE event_id % 20 = 0", ""))
+# another name of the same query
+@query("retention_tiers_all", REGISTRY["retention_tiers"][1])
 def _(t):
     return _retained(t, t.events)
 

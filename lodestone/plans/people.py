@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import media
 from lodestone.operators import people
-from lodestone.operators.ranking import dot, first_per, placed
+from lodestone.operators.ranking import dot, first_per, normalised, placed
 from lodestone.plans.registry import query
 
 
@@ -40,12 +40,6 @@ def _(t):
     return _groups(t).orderBy(F.desc("media"), F.desc("size"), "grp").limit(30).select("grp", "media", "size")
 
 
-@query("people_order", "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 100")
-def _(t):
-    return t.customer.orderBy(F.lower("c_name"), "c_custkey").limit(100).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-
-
-# the query above keeps the first 100, which its SQL sets; this one returns everybody
 @query("people_order_all", "SELECT c_custkey AS id, c_name AS name, row_number() OVER (ORDER BY lower(c_name), c_custkey) AS place FROM customer")
 def _(t):
     return placed(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), F.lower("name"), "id")
@@ -160,11 +154,29 @@ def _(t):
     return undo(after, before, "face_key").groupBy("person").agg(F.count(F.lit(1)).alias("labels"))
 
 
-@query("nms")
+_NMS = """WITH RECURSIVE d AS (SELECT vec_id AS box, vec_id % 50 AS asset, CAST(least(embedding[1], embedding[2]) AS DOUBLE) AS x1, CAST(greatest(embedding[1], embedding[2]) AS DOUBLE) AS x2, CAST(least(embedding[3], embedding[4]) AS DOUBLE) AS y1, CAST(greatest(embedding[3], embedding[4]) AS DOUBLE) AS y2, round(CAST(embedding[5] AS DOUBLE), 6) AS score FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY score DESC, box) AS n FROM d),
+r(asset, n, box, score, ok, kept) AS (SELECT asset, n, box, score, true, [[x1, y1, x2, y2]] FROM o WHERE n = 1
+UNION ALL SELECT asset, n, box, score, ok, CASE WHEN ok THEN list_append(kept, here) ELSE kept END FROM (
+  SELECT o.asset, o.n, o.box, o.score, r.kept, [o.x1, o.y1, o.x2, o.y2] AS here, len(list_filter(list_transform(r.kept, lambda k: [greatest(0, least(k[3], o.x2) - greatest(k[1], o.x1)) * greatest(0, least(k[4], o.y2) - greatest(k[2], o.y1)), (k[3] - k[1]) * (k[4] - k[2]) + (o.x2 - o.x1) * (o.y2 - o.y1)]), lambda m: m[2] - m[1] > 0 AND m[1] / (m[2] - m[1]) > 0.4)) = 0 AS ok
+  FROM r JOIN o ON o.asset = r.asset AND o.n = r.n + 1))
+SELECT asset, box, score FROM r WHERE ok"""
+
+
+@query("nms", _NMS)
 def _(t):
     return people.kept_boxes(_boxes(t).withColumnRenamed("face", "box"), "asset").select("asset", "box", "score")
 
 
-@query("tracks")
+_TRACKS = """WITH RECURSIVE {vectors}, u AS (SELECT vec_id AS face, asset, ordinal, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS v FROM vectors),
+o AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ordinal, face) AS n FROM u),
+r(asset, face, n, track, centres) AS (SELECT asset, face, n, 0, [v] FROM o WHERE n = 1
+UNION ALL SELECT asset, face, n, CASE WHEN list_max(sims) >= 0.2 THEN best - 1 ELSE len(centres) END,
+  CASE WHEN list_max(sims) >= 0.2 THEN list_transform(range(1, len(centres) + 1), lambda i: CASE WHEN i = best THEN list_transform(range(1, 65), lambda j: (centres[i][j] + v[j]) / sqrt(list_sum(list_transform(range(1, 65), lambda k: (centres[i][k] + v[k]) * (centres[i][k] + v[k]))))) ELSE centres[i] END) ELSE list_append(centres, v) END
+  FROM (SELECT *, list_position(sims, list_max(sims)) AS best FROM (SELECT o.asset, o.face, o.n, o.v, r.centres, list_transform(r.centres, lambda c: list_sum(list_transform(range(1, 65), lambda j: c[j] * o.v[j]))) AS sims FROM r JOIN o ON o.asset = r.asset AND o.n = r.n + 1)))
+SELECT asset, face, CAST(track AS INTEGER) AS track FROM r"""
+
+
+@query("tracks", _TRACKS)
 def _(t):
-    return people.tracks(t.vectors.select("asset", F.col("vec_id").alias("face"), F.col("ordinal").alias("at"), "vector"), 0.2)
+    return people.tracks(t.vectors.select("asset", F.col("vec_id").alias("face"), F.col("ordinal").alias("at"), normalised(F.col("vector")).alias("vector")), 0.2)

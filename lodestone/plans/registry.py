@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
-_MODULES = ("browse", "search", "vectors", "people", "work", "ledgers", "values")
+_MODULES = ("browse", "search", "vectors", "people", "work", "ledgers", "values", "rules")
 
 
 class Tables:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates, text
 from lodestone.operators.nearest import nearest
 from lodestone.operators.ranking import first_per
-from lodestone.plans.registry import REGISTRY, query
+from lodestone.plans.registry import query
 
 _WORDS = r"regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}_]+')"
 _TOKENS = "tokens AS (SELECT id, asset, ordinal, " + _WORDS + " AS w FROM speech)"
@@ -118,8 +118,9 @@ def _(t):
 
 @query("date_cover", "SELECT * FROM (VALUES ('20240101', '20241231', 'y2024'), ('20240201', '20240229', 'm202402'), ('20240228', '20240302', 'd20240228 d20240229 d20240301 d20240302'), ('20240302', '20240228', '')) AS x(start, through, tokens)")
 def _(t):
-    spans = [("20240101", "20241231"), ("20240201", "20240229"), ("20240228", "20240302"), ("20240302", "20240228")]
-    return t.rows("start string, through string, tokens string", *[(a, b, " ".join(dates.cover(a, b))) for a, b in spans])
+    spans = t.rows("start string, through string", ("20240101", "20241231"), ("20240201", "20240229"), ("20240228", "20240302"), ("20240302", "20240228"))
+    day = lambda c: F.to_date(c, "yyyyMMdd")
+    return spans.select("start", "through", F.concat_ws(" ", dates.cover_tokens(day("start"), day("through"))).alias("tokens"))
 
 
 @query("date_presets", """SELECT strftime(d, '%Y%m%d') AS day, strftime(d - INTERVAL 1 DAY, '%Y%m%d') AS yesterday, strftime(d - INTERVAL 6 DAY, '%Y%m%d') AS week, strftime(d - INTERVAL 29 DAY, '%Y%m%d') AS month_days, strftime(date_trunc('month', d), '%Y%m%d') AS month_start, strftime(last_day(d), '%Y%m%d') AS month_end
@@ -140,18 +141,12 @@ def _(t):
     return t.orders.filter((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high)).groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("iso_to_sortdate", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS sort_date, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events WHERE event_id % 5 = 0")
-def _(t):
-    return _sort_dates(t.events.filter("event_id % 5 = 0"))
-
-
 def _sort_dates(events):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return events.select("event_id", dates.sort_date(iso).alias("sort_date"), F.date_format(F.try_to_timestamp(iso), "yyyy-MM-dd HH:mm").alias("shown"))
 
 
-# the query above keeps the subset that its SQL sets; this one converts every timestamp
-@query("iso_to_sortdate_all", REGISTRY["iso_to_sortdate"][1].replace(" WHERE event_id % 5 = 0", ""))
+@query("iso_to_sortdate_all", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS sort_date, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")
 def _(t):
     return _sort_dates(t.events)
 
