@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dates, text
 from lodestone.operators.nearest import nearest
+from lodestone.operators.postings import Postings
 from lodestone.operators.ranking import first_per
 from lodestone.plans.registry import query
+from lodestone.sources.storage import Scratch
 
 _WORDS = r"regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}_]+')"
 _TOKENS = "tokens AS (SELECT id, asset, ordinal, " + _WORDS + " AS w FROM speech)"
@@ -17,8 +19,17 @@ def _tokens(t):
     return t.speech.select("id", "asset", "ordinal", text.words(F.col("text")).alias("w"))
 
 
-def _documents(t):
-    return t.documents.select("doc_id", "source", text.words(F.col("text")).alias("w"))
+_INDEXES: dict[tuple[str, str], Postings] = {}
+
+
+def _index(t) -> Postings:
+    """The index of all documents, written once for an application and a folder of tables."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        index = Postings(t.spark, f"{Scratch(t.spark, 'postings').folder()}")
+        index.append(t.documents.select(F.col("doc_id").alias("id"), "text"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
 
 
 _DOCS = "d AS (SELECT doc_id, source, " + _WORDS + " AS w FROM documents)"
@@ -26,18 +37,17 @@ _DOCS = "d AS (SELECT doc_id, source, " + _WORDS + " AS w FROM documents)"
 
 @query("text_all_terms", f"WITH {_DOCS} SELECT doc_id FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'with') AND len(list_filter(w, lambda x: x LIKE 'then%')) > 0")
 def _(t):
-    return _documents(t).filter(text.matches(F.col("w"), text.query_words("the WITH then"))).select("doc_id")
+    return _index(t).search(text.query_words("the WITH then")).select(F.col("id").alias("doc_id"))
 
 
 @query("text_prefix", f"WITH {_DOCS} SELECT doc_id FROM d WHERE len(list_filter(w, lambda x: x LIKE 'elle%')) > 0")
 def _(t):
-    return _documents(t).filter(text.matches(F.col("w"), text.query_words("Ellé"))).select("doc_id")
+    return _index(t).search(text.query_words("Ellé")).select(F.col("id").alias("doc_id"))
 
 
 @query("text_prefix_flag", f"WITH {_DOCS} SELECT 'prefix' AS form, count(*) AS hits FROM d WHERE len(list_filter(w, lambda x: x LIKE 'th%')) > 0 UNION ALL SELECT 'whole', count(*) FROM d WHERE list_contains(w, 'th')")
 def _(t):
-    tokens = _documents(t)
-    part = lambda form, q: tokens.filter(text.matches(F.col("w"), text.query_words(q), text.ends_in_word(q))).agg(F.lit(form).alias("form"), F.count(F.lit(1)).alias("hits"))
+    part = lambda form, q: _index(t).search(text.query_words(q), text.ends_in_word(q)).agg(F.lit(form).alias("form"), F.count(F.lit(1)).alias("hits"))
     return part("prefix", "th").unionByName(part("whole", "th "))
 
 
@@ -55,7 +65,7 @@ def _(t):
 
 @query("vocabulary_prefix", f"WITH {_DOCS} SELECT term, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term LIKE 'inh%' GROUP BY term")
 def _(t):
-    return _documents(t).select("doc_id", F.explode(F.array_distinct("w")).alias("term")).filter(F.col("term").startswith("inh")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    return _index(t).vocabulary("inh")
 
 
 @query("scope_tokens", "WITH {files} SELECT asset, 'c' || sha256(camera) || ' d' || left(captured, 8) || ' m' || left(captured, 6) || ' y' || left(captured, 4) AS tokens FROM files WHERE captured <> ''")

@@ -36,14 +36,19 @@ class Scratch:
         self.count = 0
         self._saved: dict[str, DataFrame] = {}
 
+    def folder(self) -> str:
+        """The folder of the job, made if need be; it goes when the application ends."""
+        place, files = _place(self.spark, self.base)
+        if files.mkdirs(place):
+            files.deleteOnExit(place)
+        return self.base
+
     def save(self, frame: DataFrame) -> DataFrame:
         """Writes the rows and returns them as a plain scan."""
         path = f"{self.base}/{self.count}"
         self.count += 1
+        self.folder()
         frame.write.parquet(path)
-        if not self._saved:
-            place, files = _place(self.spark, self.base)
-            files.deleteOnExit(place)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         self._saved[path] = saved
         saved._scratch_path = path
