@@ -72,3 +72,19 @@ def retained(snapshots: DataFrame, now: str, newest: int = 3, hours: int = 24, d
     if current is not None:
         out = out.unionByName(everything.filter(F.col("file") == current).select("file"))
     return out.distinct()
+
+
+def new_history(history: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of ``values`` (key, value) to append to ``history`` (key, value, sequence): those whose
+    value differs from the key's last one."""
+    last = history.groupBy("key").agg(F.max(F.struct("sequence", "value")).alias("last"))
+    return values.join(last, "key", "left").filter(F.col("last").isNull() | ~F.col("last.value").eqNullSafe(F.col("value"))).select("key", "value")
+
+
+def receipt_states(receipts: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(receipt, state): recorded if the ledger (receipt) has it, complete if it has files and all of
+    its files (receipt, verified) are verified, else waiting."""
+    counts = files.groupBy("receipt").agg(F.every(F.coalesce("verified", F.lit(False))).alias("all"))
+    known = ledger.select("receipt", F.lit(True).alias("known")).distinct()
+    both = receipts.select("receipt").join(counts, "receipt", "left").join(known, "receipt", "left")
+    return both.select("receipt", F.when(F.col("known"), "recorded").when(F.col("all"), "complete").otherwise("waiting").alias("state"))

@@ -88,3 +88,19 @@ def units_in_force(seeds: DataFrame, incremental: DataFrame) -> DataFrame:
     both = seeds.withColumn("side", F.lit(0)).unionByName(incremental.withColumn("side", F.lit(1)))
     best = both.groupBy("asset", "stage", "ordinal").agg(F.max(F.struct("side", "payload")).alias("u"))
     return best.select("asset", "stage", "ordinal", F.col("u.payload").alias("payload"))
+
+
+def attempts_since(log: DataFrame, key: str, sequence: str, failed: Column, ended: Column) -> DataFrame:
+    """(key, attempts): the failures of each key after its last end of connection. Two aggregates,
+    both combined before the shuffle."""
+    last = log.filter(ended).groupBy(key).agg(F.max(sequence).alias("__last"))
+    after = log.join(last, key, "left").filter(F.col("__last").isNull() | (F.col(sequence) > F.col("__last")))
+    counts = after.groupBy(key).agg(F.count(F.when(failed, 1)).alias("attempts"))
+    return log.select(key).distinct().join(counts, key, "left").fillna(0, ["attempts"])
+
+
+def lanes_with_work(work: DataFrame, seen: DataFrame) -> DataFrame:
+    """(lane, token): lanes with ready rows whose token, their largest sequence, is not the one seen
+    before. ``work``: lane, sequence, ready; ``seen``: lane, token."""
+    now = work.groupBy("lane").agg(F.max("sequence").alias("token"), F.some("ready").alias("ready"))
+    return now.join(seen.withColumnRenamed("token", "before"), "lane", "left").filter(F.col("ready") & ~F.col("token").eqNullSafe(F.col("before"))).select("lane", "token")

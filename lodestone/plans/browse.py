@@ -9,6 +9,7 @@ from lodestone.operators import browse
 from lodestone.operators.ranking import first_per, placed
 from lodestone.operators.scope import Scope
 from lodestone.plans.registry import query
+from lodestone.sources.storage import Scratch
 
 _ROW = "asset, captured, camera"
 
@@ -46,7 +47,7 @@ def _(t):
     UNION ALL SELECT 'part', count(*) FROM files WHERE captured <> '' AND captured <= '19960615115959'""",
 )
 def _(t):
-    counts = browse.day_facets(t.files)
+    counts = Scratch(t.spark, "facets").save(browse.day_facets(t.files))  # written once, read by every total
     whole = browse.total(t.files, counts, Scope(camera="2-HIGH", start="19950101", through="19961231235959", arrival_through=40000))
     part = browse.total(t.files, counts, Scope(through="19960615115959"))
     return whole.select(F.lit("day").alias("route"), "total").unionByName(part.select(F.lit("part").alias("route"), "total"))

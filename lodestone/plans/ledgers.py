@@ -76,13 +76,6 @@ def _(t):
     return counts[0].unionByName(counts[1])
 
 
-@query("history_append", "SELECT c_custkey AS asset, c_mktsegment AS value FROM customer WHERE c_custkey % 4 = 0")
-def _(t):
-    old = t.customer.select(F.col("c_custkey").alias("asset"), F.col("c_mktsegment").alias("value"))
-    new = old.withColumn("before", F.when(F.col("asset") % 4 != 0, F.col("value")))
-    return new.filter(~F.col("before").eqNullSafe(F.col("value"))).select("asset", "value")
-
-
 @query("register_import", "SELECT CASE WHEN c.content IS NULL THEN 'new' ELSE 'known' END AS action, count(*) AS items FROM (SELECT sha256(text) AS content FROM conversations) v LEFT JOIN (SELECT DISTINCT sha256(text) AS content FROM documents) c ON v.content = c.content GROUP BY 1")
 def _(t):
     known = t.documents.select(F.sha2("text", 256).alias("content")).distinct().withColumn("seen", F.lit(True))
@@ -90,11 +83,6 @@ def _(t):
     return found.groupBy(F.when(F.col("seen").isNull(), "new").otherwise("known").alias("action")).agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("receipt_complete", "SELECT o_orderkey AS receipt, count(*) AS files, bool_and(l_returnflag <> 'N') AS done FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def _(t):
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("receipt")).agg(F.count(F.lit(1)).alias("files"), F.every(F.col("l_returnflag") != "N").alias("done"))
-
-
 @query("missing_artifacts", "SELECT o_orderkey AS asset FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("asset"))
@@ -158,23 +146,6 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("file"), F.coalesce(chosen, F.lit("keep")).alias("policy"))
 
 
-@query("label_token", "SELECT l_suppkey AS person, sha256(string_agg(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber)) AS token FROM lineitem WHERE l_quantity >= 49 GROUP BY 1")
-def _(t):
-    keys = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    text = F.concat_ws(",", F.transform(F.col("k"), lambda s: F.concat_ws(":", s["l_orderkey"].cast("string"), s["l_linenumber"].cast("string"))))
-    return t.lineitem.filter("l_quantity >= 49").groupBy(F.col("l_suppkey").alias("person")).agg(keys.alias("k")).select("person", F.sha2(text, 256).alias("token"))
-
-
-@query("readiness_token", "SELECT o_orderstatus AS lane, count(*) > 0 AS ready FROM orders GROUP BY 1")
-def _(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("lane")).agg((F.count(F.lit(1)) > 0).alias("ready"))
-
-
-@query("attempts_memory", "SELECT user_id, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY user_id")
-def _(t):
-    return t.events.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("attempts"))
-
-
 @query("resources_flatmap", "SELECT c_custkey AS asset, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['photo', 'pairedVideo'] ELSE ['video'] END) AS resource FROM customer WHERE c_custkey % 5 <> 0")
 def _(t):
     resources = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("photo"), F.lit("adjustment"), F.lit("pairedVideo"))).otherwise(F.array(F.lit("video")))

@@ -123,6 +123,44 @@ def _(t):
     return ledgers.retained(snapshots, now, identity="click", current=17)
 
 
+@query("history_changes", """WITH h AS (SELECT o_custkey AS key, max_by(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY o_custkey), v AS (SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' END AS value FROM customer)
+SELECT v.key, v.value FROM v LEFT JOIN h ON h.key = v.key WHERE h.key IS NULL OR h.value IS DISTINCT FROM v.value""")
+def _(t):
+    history = t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("sequence"))
+    return ledgers.new_history(history, t.customer.select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "1-URGENT").when(F.col("c_custkey") % 3 == 1, "2-HIGH").alias("value")))
+
+
+@query("receipt_ledger", """SELECT o_orderkey AS receipt, CASE WHEN o_custkey % 5 = 0 THEN 'recorded' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag <> 'N')) THEN 'complete' ELSE 'waiting' END AS state FROM orders""")
+def _(t):
+    receipts = t.orders.select(F.col("o_orderkey").alias("receipt"))
+    files = t.lineitem.select(F.col("l_orderkey").alias("receipt"), (F.col("l_returnflag") != "N").alias("verified"))
+    return ledgers.receipt_states(receipts, files, t.orders.filter("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("receipt")))
+
+
+@query("attempts_since_disconnect", """WITH l AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, count(*) FILTER (event_type = 'error' AND (last IS NULL OR event_id > last)) AS attempts FROM events e LEFT JOIN l ON l.user_id = e.user_id GROUP BY e.user_id""")
+def _(t):
+    return queues.attempts_since(t.events, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup")
+
+
+@query("lanes_with_work", """SELECT o_orderstatus AS lane, max(o_orderkey) AS token FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1 HAVING bool_or(o_custkey % 2 = 0)""")
+def _(t):
+    work = t.orders.select(F.col("o_orderstatus").alias("lane"), F.col("o_orderkey").alias("sequence"), (F.col("o_custkey") % 2 == 0).alias("ready"))
+    return queues.lanes_with_work(work, work.filter("lane = 'F'").groupBy("lane").agg(F.max("sequence").alias("token")))
+
+
+@query("labels_token", """WITH h AS (SELECT sha256(CAST(l_orderkey AS VARCHAR) || chr(31) || CAST(l_linenumber AS VARCHAR) || chr(31) || CAST(l_suppkey AS VARCHAR) || chr(31) || l_returnflag) AS d FROM lineitem)
+SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(d, 1, 8)) AS BIGINT)) AS VARCHAR) AS part0, CAST(sum(CAST(('0x' || substr(d, 9, 8)) AS BIGINT)) AS VARCHAR) AS part1 FROM h""")
+def _(t):
+    return ledgers.digest(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+
+
+@query("removed_assets", "SELECT user_id AS asset FROM events GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) // 2 FROM events)")
+def _(t):
+    middle = t.events.agg(F.max("event_id")).first()[0] // 2
+    old, new = (t.events.filter(c).select(F.col("user_id").alias("asset")).distinct() for c in (F.col("event_id") <= middle, F.col("event_id") > middle))
+    return old.join(new, "asset", "left_anti")
+
+
 @query("identities")
 def _(t):
     # every tenth face is labelled by its class, every seventeenth is said not to be of it

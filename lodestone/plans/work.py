@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import ledgers, queues
-from lodestone.operators.ranking import first_per
 from lodestone.plans.registry import query
 
 _JOBS = "jobs AS (SELECT o_orderkey AS asset, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'queued' ELSE 'error' END AS state, CAST(o_custkey % 5 AS INTEGER) AS attempts, strftime(o_orderdate, '%Y%m%d') AS captured, o_orderpriority AS priority FROM orders)"
@@ -105,22 +104,11 @@ def _(t):
     return now.join(seen, "asset", "left").select("asset", (F.col("found").eqNullSafe(F.col("signature")) & (F.col("state") == "F")).alias("unchanged"))
 
 
-@query("job_transitions", f"WITH {_JOBS} SELECT asset, CASE WHEN state = 'queued' AND asset % 3 = 0 THEN 'complete' WHEN state = 'queued' THEN 'error' WHEN state = 'error' AND attempts < 3 THEN 'queued' ELSE state END AS state FROM jobs")
-def _(t):
-    outcome = F.when(F.col("state") == "queued", F.when(F.col("asset") % 3 == 0, "complete").otherwise("error"))
-    return _jobs(t).select("asset", queues.transition(F.col("state"), outcome, F.col("attempts")).alias("state"))
-
-
 @query("preview_stage_plan", f"WITH {_JOBS} SELECT asset, CASE attempts WHEN 0 THEN 'thumbnail' WHEN 1 THEN 'coarse' WHEN 2 THEN 'dense' ELSE 'done' END AS stage FROM jobs")
 def _(t):
     return _jobs(t).select("asset", queues.stage(F.col("attempts")).alias("stage"))
 
 
-@query("cdc_apply_batch", "SELECT user_id AS asset, count(*) AS changes, max(event_id) AS sequence FROM events WHERE event_id <= 5000 GROUP BY user_id")
-def _(t):
-    return t.events.filter("event_id <= 5000").groupBy(F.col("user_id").alias("asset")).agg(F.count(F.lit(1)).alias("changes"), F.max("event_id").alias("sequence"))
-
-
 @query("cdc_collapse", "SELECT user_id AS asset, max_by(event_type, event_id) AS last_type FROM events GROUP BY user_id")
 def _(t):
     return t.events.groupBy(F.col("user_id").alias("asset")).agg(F.max(F.struct("event_id", "event_type")).alias("m")).select("asset", F.col("m.event_type").alias("last_type"))
@@ -166,12 +154,6 @@ def _(t):
     return t.events.select("ts").join(F.broadcast(latest)).filter(F.col("ts") + F.expr("INTERVAL 15 DAY") >= F.col("latest")).agg(F.count(F.lit(1)).alias("live"))
 
 
-@query("removed_assets", "SELECT DISTINCT user_id AS asset FROM events WHERE event_id <= 300 EXCEPT SELECT user_id FROM events WHERE event_id > 9700")
-def _(t):
-    old, new = (t.events.filter(c).select(F.col("user_id").alias("asset")).distinct() for c in ("event_id <= 300", "event_id > 9700"))
-    return old.join(new, "asset", "left_anti")
-
-
 @query("distinct_assets", "SELECT DISTINCT user_id AS asset FROM events")
 def _(t):
     return t.events.select(F.col("user_id").alias("asset")).distinct()
@@ -191,19 +173,3 @@ def _(t):
 def _(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     return t.lineitem.select(F.col("l_orderkey").alias("asset"), "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
-
-
-@query("unit_precedence", "SELECT l_orderkey AS asset, l_linenumber % 3 AS stage, min(l_linenumber) AS unit FROM lineitem GROUP BY ALL")
-def _(t):
-    units = t.lineitem.select(F.col("l_orderkey").alias("asset"), (F.col("l_linenumber") % 3).alias("stage"), F.col("l_linenumber").alias("unit"))
-    return first_per(units, ["asset", "stage"], "unit")
-
-
-@query("incremental_or_full", "SELECT CASE WHEN max(event_id) > 100000000 THEN 'full' ELSE 'changes' END AS pass, count(*) FILTER (event_id > 9000) AS rows FROM events")
-def _(t):
-    return t.events.agg(F.when(F.max("event_id") > 100000000, "full").otherwise("changes").alias("pass"), F.count(F.when(F.col("event_id") > 9000, 1)).alias("rows"))
-
-
-@query("compaction_due", "SELECT count(DISTINCT user_id) >= 512 OR count(*) >= 16384 AS due FROM events WHERE event_id > 9000")
-def _(t):
-    return t.events.filter("event_id > 9000").agg(((F.countDistinct("user_id") >= 512) | (F.count(F.lit(1)) >= 16384)).alias("due"))
