@@ -3,9 +3,10 @@
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, lower-cased in A-Z; all
 else separates. A template is a line of words with markup: ``[[ ... ]]`` is an optional region,
 ``{{a|b c}}`` takes one of several wordings, and ``<<m-n>>`` is a replaceable region of m to n
-words of any kind. A template compiles into a non-deterministic automaton over words; a text
-matches where the automaton accepts, so that all mandatory wording stands there exactly, in
-order, with only optional and replaceable regions in between.
+words of any kind. A template compiles into an automaton over words, which becomes deterministic
+step by step as texts are read; a text matches where the automaton accepts, so that all mandatory
+wording stands there exactly, in order, with only optional and replaceable regions in between.
+The catalogue holds one-line grants, the notices that files carry, and whole short licences.
 
 Base labels come from fixed phrases whose words stand consecutively, at every place. Templates
 add labels of their own and never remove base labels.
@@ -28,27 +29,43 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import LOWER_ALNUM, slices, texts
 from lodestone.llm.hashing import word_bounds
 
+#: Steps of a deterministic automaton that are remembered; beyond them they are made again.
+MOST_STEPS = 100_000
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Label and template; the word after ``@``, one of its mandatory words, must occur in a text
 #: before the template is tried.
 TEMPLATES = [
-    ("apache-2.0", "@apache {{licensed|released|distributed}} under [[the terms of]] the apache license [[,]] version 2 0"),
+    ("apache-2.0", "@apache {{licensed|released|distributed}} under [[the terms of]] the apache license [[version]] 2 0"),
+    ("apache-2.0", "@apache licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{http|https}} www apache org licenses license 2 0 [[html]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache-2.0", "@spdx spdx license identifier apache 2 0"),
     ("mit", "@mit {{licensed|released|distributed}} under [[the terms of]] the mit license"),
     ("mit", "@spdx spdx license identifier mit"),
     ("mit", "@hereby permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<0-4>> to deal in the software without restriction"),
     ("gpl-2.0", "@gnu {{licensed|released|distributed}} under [[the terms of]] the gnu general public license [[as published by the free software foundation]] {{version|v}} 2"),
     ("gpl-3.0", "@gnu {{licensed|released|distributed}} under [[the terms of]] the gnu general public license [[as published by the free software foundation]] {{version|v}} 3"),
+    ("gpl-2.0", "@foundation free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "@foundation free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "@redistribute free software you can redistribute it and or modify it under the terms of the gnu general public license {{version 2|as published by the free software foundation version 2}} [[of the license]] only"),
     ("lgpl-2.1", "@lesser {{licensed|released|distributed}} under [[the terms of]] the gnu lesser general public license {{version|v}} 2 1"),
+    ("lgpl-2.1", "@lesser free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0", "@lesser free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("agpl-3.0", "@affero {{licensed|released|distributed}} under [[the terms of]] the gnu affero general public license {{version|v}} 3"),
+    ("agpl-3.0", "@affero free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mpl-2.0", "@mozilla this source code form is subject to the terms of the mozilla public license [[,]] v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{http|https}} mozilla org mpl 2 0"),
     ("mpl-2.0", "@mozilla subject to the terms of the mozilla public license [[,]] {{v|version}} 2 0"),
     ("cc-by-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by 4 0"),
     ("cc-by-sa-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by sa 4 0"),
     ("cc-by-nc-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by nc 4 0"),
     ("cc-by-nd-4.0", "@cc {{licensed|released|distributed}} under [[the]] [[creative commons]] cc by nd 4 0"),
     ("bsd-3-clause", "@redistribution redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<0-120>> neither the name of <<1-12>> nor the names of its contributors may be used to endorse or promote products"),
+    ("mit", "@hereby permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "@hereby permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<1-8>> {{disclaims|disclaim}} all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause", "@redistribution redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<0-2>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<0-2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by <<1-10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("zlib", "@misrepresented permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<0-2>> the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "@unencumbered this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "@cc0 {{licensed|released|distributed}} under [[the]] [[creative commons]] cc0 1 0"),
     ("copyright-notice", "@copyright copyright [[c]] <<1-8>> all rights reserved"),
 ]
 
@@ -80,11 +97,26 @@ class Automaton:
     def first_words(self) -> set[bytes]:
         return {w for s in self.closure({0}) for w, _ in self.steps[s] if w is not None}
 
+    def prepare(self) -> None:
+        """The start state and the alphabet of the deterministic form, whose steps are made when first taken."""
+        self.words = {w for step in self.steps for w, _ in step if w is not None}
+        self.begin = frozenset(self.closure({0}))
+        self.known: dict[tuple[frozenset, bytes | None], frozenset] = {}
+
+    def step(self, now: frozenset, word: bytes) -> frozenset:
+        key = (now, word if word in self.words else None)
+        after = self.known.get(key)
+        if after is None:
+            if len(self.known) == MOST_STEPS:
+                self.known.clear()
+            after = self.known[key] = frozenset(self.closure({t for s in now for w, t in self.steps[s] if w is None or w == word}))
+        return after
+
     def match(self, words: list[bytes], start: int) -> int:
         """The end of the shortest match that begins at ``start``, or -1."""
-        now = self.closure({0})
+        now = self.begin
         for at in range(start, len(words)):
-            now = self.closure({t for s in now for w, t in self.steps[s] if w is None or w == words[at]})
+            now = self.step(now, words[at])
             if not now:
                 return -1
             if self.accept in now:
@@ -133,6 +165,7 @@ def compile_template(label: str, markup: str) -> Automaton:
             for s in skips:
                 made.empty[s].append(at)
     made.accept = at
+    made.prepare()
     if anchor not in {p["word"] for p in _PART.finditer(body)}:
         raise ValueError(f"{anchor!r} is no mandatory word of the template for {label}")
     return made
@@ -144,6 +177,9 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
         self.automata = [compile_template(*t) for t in templates]
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
+        for a in self.automata:
+            a.first = a.first_words()
+        self.wanted = {p[0] for p, _ in self.phrases} | {w for a in self.automata for w in a.first}
         words = {a.anchor for a in self.automata} | {p[-1] for p, _ in self.phrases}
         self.any = re.compile(rb"(?<![^ ])(?:" + b"|".join(map(re.escape, sorted(words))) + rb")(?![^ ])")
 
@@ -154,16 +190,15 @@ class Scanner:
             return len(word_bounds(np.frombuffer(plain, np.uint8))[0]), [], []
         words = plain.split()
         places: dict[bytes, list[int]] = {}
-        wanted = {p[0] for p, _ in self.phrases} | {w for a in self.automata for w in a.first_words()}
         present = set(words)
         for i, w in enumerate(words):
-            if w in wanted:
+            if w in self.wanted:
                 places.setdefault(w, []).append(i)
         base = [(i, label) for p, label in self.phrases for i in places.get(p[0], ()) if words[i : i + len(p)] == p]
         found = []
         for a in self.automata:
             if a.anchor in present:
-                for i in sorted(i for w in a.first_words() for i in places.get(w, ())):
+                for i in sorted(i for w in a.first for i in places.get(w, ())):
                     if (end := a.match(words, i)) >= 0:
                         found.append((i, end, a.label))
         return len(words), base, found
