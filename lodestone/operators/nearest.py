@@ -1,4 +1,5 @@
-"""Nearest-in-time joins, in one shuffle and without comparing all pairs of a key."""
+"""Nearest-in-time joins without comparing all pairs of a key: one shuffle by key, and with time
+buckets three more of which two carry one row for each bucket."""
 
 from __future__ import annotations
 

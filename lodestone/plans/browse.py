@@ -177,8 +177,8 @@ def _(t):
 
 @query("toggle_selection", "(SELECT asset FROM (SELECT o_orderkey AS asset FROM orders WHERE o_orderkey % 2 = 0) EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) UNION ALL (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 def _(t):
-    even, third = (t.orders.filter(f"o_orderkey % {n} = 0").select(F.col("o_orderkey").alias("asset")) for n in (2, 3))
-    return even.union(third).exceptAll(even.intersect(third)).exceptAll(even.intersect(third))
+    side = lambda n, bit: t.orders.filter(f"o_orderkey % {n} = 0").select(F.col("o_orderkey").alias("asset"), F.lit(bit).alias("side"))
+    return side(2, 1).unionByName(side(3, 2)).groupBy("asset").agg(F.bit_or("side").alias("sides")).filter("sides < 3").select("asset")
 
 
 @query("range_select", "WITH {files}, p AS (SELECT asset, row_number() OVER (ORDER BY captured, asset) AS n FROM files WHERE camera = '3-MEDIUM' AND captured LIKE '1996%') SELECT asset FROM p WHERE n BETWEEN (SELECT min(n) FROM p WHERE asset % 10 = 3) AND (SELECT min(n) + 20 FROM p WHERE asset % 10 = 3)")
