@@ -120,3 +120,54 @@ def iou(a: str, b: str) -> Column:
     shared = width * height
     union = area(a) + area(b) - shared
     return F.when(union > 0, shared / union).otherwise(0.0)
+
+
+def face_reference(asset: Column, at: Column, corners: list[Column]) -> Column:
+    """The key of a face: its asset, time (or photo) and corners, to six decimals."""
+    digits = lambda c: F.format_string("%.6f", F.round(c.cast("double"), 6))
+    return F.concat_ws("|", asset, F.when(at.isNull(), "photo").otherwise(digits(at)), F.concat_ws(",", *map(digits, corners)))
+
+
+def packed_cell(number: Column, frames: Column, per_sheet: int = 32, columns: int = 8, side: int = 256) -> Column:
+    """Where a frame of an asset goes: sheet, x and y, and the sheet's width and height. A sheet that
+    holds fewer frames than columns is as wide as its frames."""
+    sheet, place = F.floor(number / per_sheet).cast("int"), (number % per_sheet).cast("int")
+    held = F.least(F.lit(per_sheet), frames - sheet * per_sheet).cast("int")
+    wide = F.least(F.lit(columns), held)
+    row = F.floor(place / wide).cast("int")
+    return F.struct(sheet.alias("sheet"), (place % wide * side).alias("x"), (row * side).alias("y"), (wide * side).alias("width"), (F.ceil(held / wide).cast("int") * side).alias("height"))
+
+
+def shifted_segments(segments: Column, seconds: Column) -> Column:
+    """Segments (start, end, text, words) of a chunk, with their words, in the time of the whole."""
+    later = lambda s: s.withField("start", s["start"] + seconds).withField("end", s["end"] + seconds)
+    return F.transform(segments, lambda s: later(s).withField("words", F.transform(s["words"], later)))
+
+
+def display_size(width: Column, height: Column, rotation: Column) -> Column:
+    """Width and height as shown: a quarter turn swaps them."""
+    turned = F.coalesce(F.abs(rotation) % 180 == 90, F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def even_size(width: Column, height: Column, side: int) -> Column:
+    """Even sides of at most about ``side`` that keep the aspect, never larger than the source's."""
+    scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(width, height))
+    even = lambda c: F.greatest(F.lit(2), F.bround(c * scale / 2, 0).cast("int") * 2)
+    return F.struct(even(width).alias("width"), even(height).alias("height"))
+
+
+def video_camera(tags: Column) -> Column:
+    """The camera in a video's tags (a map): make and model of the phone's own keys, else the plain
+    ones, else an encoder that names a known camera; empty if none."""
+    tag = lambda name: F.trim(F.coalesce(F.try_element_at(tags, F.lit(name)), F.lit("")))
+    pair = lambda prefix: F.trim(F.concat_ws(" ", tag(f"{prefix}make"), tag(f"{prefix}model")))
+    encoder = F.coalesce(F.try_element_at(tags, F.lit("encoder")), F.lit(""))
+    own, plain = pair("com.apple.quicktime."), pair("")
+    found = F.when(own != "", own).when(plain != "", plain).when(encoder.contains("DJI") | encoder.contains("OsmoPocket"), encoder).otherwise("")
+    return F.replace(found, F.lit("OsmoPocket4P"), F.lit("Pocket 4P"))
+
+
+def video_location(tags: Column) -> Column:
+    some = lambda name: F.when(F.try_element_at(tags, F.lit(name)) != "", F.try_element_at(tags, F.lit(name)))
+    return F.coalesce(some("location"), some("com.apple.quicktime.location.ISO6709"))

@@ -88,3 +88,15 @@ def receipt_states(receipts: DataFrame, files: DataFrame, ledger: DataFrame) ->
     known = ledger.select("receipt", F.lit(True).alias("known")).distinct()
     both = receipts.select("receipt").join(counts, "receipt", "left").join(known, "receipt", "left")
     return both.select("receipt", F.when(F.col("known"), "recorded").when(F.col("all"), "complete").otherwise("waiting").alias("state"))
+
+
+def generation_fates(generations: DataFrame, packs: DataFrame, references: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(asset, directory, fate) of superseded generations: current if a pack still uses the folder,
+    referenced if any frame of the asset (from media, summaries, frames or units) lies in it, review
+    if its files (directory, name, digest) are not exactly those of its manifest, else remove."""
+    used = packs.select("directory", F.lit(True).alias("used")).distinct()
+    held = references.select("asset", F.regexp_extract("frame", r"^(.*)/[^/]*$", 1).alias("directory"), F.lit(True).alias("held")).distinct()
+    signed = files.select("directory", "name", "digest", F.lit(1).alias("n")).unionByName(manifests.select("directory", "name", "digest", F.lit(-1).alias("n")))
+    odd = signed.groupBy("directory", "name", "digest").agg(F.sum("n").alias("n")).filter("n <> 0").select("directory", F.lit(True).alias("odd")).distinct()
+    both = generations.select("asset", "directory").join(used, "directory", "left").join(held, ["asset", "directory"], "left").join(odd, "directory", "left")
+    return both.select("asset", "directory", F.when(F.col("used"), "current").when(F.col("held"), "referenced").when(F.col("odd"), "review").otherwise("remove").alias("fate"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import media
 from lodestone.operators import people
 from lodestone.operators.ranking import dot, first_per, normalised, placed
 from lodestone.plans.registry import query
@@ -72,7 +71,7 @@ o AS (SELECT label, face, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS ove
 def _(t):
     boxes = _boxes(t).drop("score")
     labels, faces = (boxes.select("asset", *[F.col(c).alias(p + c) for c in ("face", "x1", "x2", "y1", "y2")]) for p in ("l_", "f_"))
-    pairs = labels.join(faces, "asset").filter("l_face <> f_face").withColumn("overlap", media.iou("l_", "f_")).filter("overlap >= 0.3")
+    pairs = people.overlapping(labels, faces, "asset", 0.3).filter("l_face <> f_face")
     return first_per(pairs, "l_face", F.desc("overlap"), "f_face").select(F.col("l_face").alias("label"), F.col("f_face").alias("face"), F.round("overlap", 4).alias("overlap"))
 
 

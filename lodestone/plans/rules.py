@@ -161,6 +161,73 @@ def _(t):
     return old.join(new, "asset", "left_anti")
 
 
+@query("face_reference", "SELECT vec_id AS face, CAST(vec_id // 5 AS VARCHAR) || '|' || CASE WHEN vec_id % 2 = 0 THEN 'photo' ELSE printf('%.6f', vec_id / CAST(8 AS DOUBLE)) END || '|' || printf('%.6f', CAST(vec_id AS DOUBLE)) || ',' || printf('%.6f', vec_id / CAST(4 AS DOUBLE)) || ',1.000000,0.500000' AS key FROM embeddings")
+def _(t):
+    at = F.when(F.col("vec_id") % 2 == 1, F.col("vec_id") / F.lit(8.0))
+    return t.embeddings.select(F.col("vec_id").alias("face"), media.face_reference(F.expr("CAST(vec_id div 5 AS STRING)"), at, [F.col("vec_id"), F.col("vec_id") / F.lit(4.0), F.lit(1.0), F.lit(0.5)]).alias("key"))
+
+
+@query("packed_cells", """WITH n AS (SELECT user_id AS asset, event_id AS frame, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) - user_id % 40 AS frames FROM events), s AS (SELECT *, k // 32 AS sheet, least(32, frames - k // 32 * 32) AS held FROM n WHERE k < frames)
+SELECT asset, frame, CAST(sheet AS INTEGER) AS sheet, CAST(k % 32 % least(8, held) * 256 AS INTEGER) AS x, CAST(k % 32 // least(8, held) * 256 AS INTEGER) AS y, CAST(least(8, held) * 256 AS INTEGER) AS width, CAST((held + least(8, held) - 1) // least(8, held) * 256 AS INTEGER) AS height FROM s""")
+def _(t):
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("user_id")
+    frames = t.events.select("user_id", "event_id", (F.row_number().over(own.orderBy("event_id")) - 1).alias("k"), (F.count(F.lit(1)).over(own) - F.col("user_id") % 40).alias("frames")).filter("k < frames")
+    return frames.select(F.col("user_id").alias("asset"), F.col("event_id").alias("frame"), media.packed_cell(F.col("k"), F.col("frames")).alias("c")).select("asset", "frame", "c.*")
+
+
+@query("segment_words", "SELECT conv_id AS asset, turn, turn * 30.0::DOUBLE + 1.5 AS start, turn * 30.0::DOUBLE + 4 AS stop, [turn * 30.0::DOUBLE + 1.5, turn * 30.0::DOUBLE + 2.25] AS words FROM conversations")
+def _(t):
+    part = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    segment = F.struct(F.lit(1.5).alias("start"), F.lit(4.0).alias("end"), F.col("text"), F.array(part(1.5, 2.0), part(2.25, 4.0)).alias("words"))
+    moved = media.shifted_segments(F.array(segment), F.col("turn") * 30.0)[0]
+    return t.conversations.select(F.col("conv_id").alias("asset"), "turn", moved.alias("s")).select("asset", "turn", "s.start", F.col("s.end").alias("stop"), F.col("s.words.start").alias("words"))
+
+
+@query("video_sizes", """WITH v AS (SELECT p_partkey AS id, p_size * 77 + 1 AS w, p_partkey % 50 * 31 + 1 AS h, CASE p_partkey % 4 WHEN 0 THEN 90 WHEN 1 THEN -270 WHEN 2 THEN 180 END AS r FROM part), d AS (SELECT id, CASE WHEN COALESCE(abs(r) % 180 = 90, false) THEN h ELSE w END AS width, CASE WHEN COALESCE(abs(r) % 180 = 90, false) THEN w ELSE h END AS height FROM v)
+SELECT id, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(greatest(2, CAST(round_even(width * least(1.0, CAST(1920 AS DOUBLE) / greatest(width, height)) / 2, 0) AS INTEGER) * 2) AS INTEGER) AS even_width, CAST(greatest(2, CAST(round_even(height * least(1.0, CAST(1920 AS DOUBLE) / greatest(width, height)) / 2, 0) AS INTEGER) * 2) AS INTEGER) AS even_height FROM d""")
+def _(t):
+    turn = F.when(F.col("p_partkey") % 4 == 0, 90).when(F.col("p_partkey") % 4 == 1, -270).when(F.col("p_partkey") % 4 == 2, 180)
+    shown = t.part.select(F.col("p_partkey").alias("id"), media.display_size((F.col("p_size") * 77 + 1).cast("int"), (F.col("p_partkey") % 50 * 31 + 1).cast("int"), turn).alias("d")).select("id", "d.*")
+    return shown.select("*", media.even_size(F.col("width"), F.col("height"), 1920).alias("e")).select("id", "width", "height", F.col("e.width").alias("even_width"), F.col("e.height").alias("even_height"))
+
+
+@query("date_selection", """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 = 3 THEN CAST(date_trunc('month', o_orderdate - INTERVAL 70 DAY) AS DATE) ELSE CAST(o_orderdate + INTERVAL 9 DAY AS DATE) END END AS anchor, CASE o_orderkey % 5 WHEN 0 THEN 'day' WHEN 1 THEN 'week' WHEN 2 THEN 'year' WHEN 3 THEN 'months' ELSE 'range' END AS mode FROM orders),
+s AS (SELECT *, CASE mode WHEN 'months' THEN CAST(date_trunc('month', day) AS DATE) WHEN 'range' THEN day END AS start FROM o)
+SELECT id, strftime(CASE mode WHEN 'day' THEN day WHEN 'week' THEN CAST(date_trunc('week', day) AS DATE) WHEN 'year' THEN CAST(date_trunc('year', day) AS DATE) ELSE least(COALESCE(anchor, start), start) END, '%Y%m%d') AS first,
+  strftime(CASE mode WHEN 'day' THEN day WHEN 'week' THEN CAST(date_trunc('week', day) AS DATE) + 6 WHEN 'year' THEN make_date(year(day), 12, 31) WHEN 'months' THEN last_day(greatest(COALESCE(anchor, start), start)) ELSE greatest(COALESCE(anchor, start), start) END, '%Y%m%d') AS through, strftime(CASE WHEN anchor IS NULL THEN start END, '%Y%m%d') AS anchor FROM s""")
+def _(t):
+    from lodestone.functions import dates
+
+    day, of = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
+    mode = F.when(of == 0, "day").when(of == 1, "week").when(of == 2, "year").when(of == 3, "months").otherwise("range")
+    anchor = F.when(F.col("o_orderkey") % 2 == 0, F.when(of == 3, F.trunc(F.date_sub(day, 70), "month")).otherwise(F.date_add(day, 9)))
+    text = lambda c: F.date_format(c, "yyyyMMdd")
+    return t.orders.select(F.col("o_orderkey").alias("id"), dates.selected(mode, day, anchor).alias("s")).select("id", text(F.col("s.first")).alias("first"), text(F.col("s.through")).alias("through"), text(F.col("s.anchor")).alias("anchor"))
+
+
+@query("generation_fates", """SELECT o_custkey AS asset, 'g/' || o_orderkey AS directory, CASE WHEN o_orderkey % 5 = 0 THEN 'current' WHEN o_orderstatus = 'F' THEN 'referenced' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45) THEN 'review' ELSE 'remove' END AS fate FROM orders""")
+def _(t):
+    folder = F.concat(F.lit("g/"), F.col("o_orderkey").cast("string"))
+    own = t.orders.select(F.col("o_custkey").alias("asset"), folder.alias("directory"), "o_orderkey", "o_orderstatus")
+    frames = own.filter("o_orderstatus = 'F'").select("asset", F.concat("directory", F.lit("/0.jpg")).alias("frame"))
+    files = t.lineitem.select(F.concat(F.lit("g/"), F.col("l_orderkey").cast("string")).alias("directory"), F.col("l_linenumber").cast("string").alias("name"), F.col("l_partkey").cast("string").alias("digest"), "l_quantity")
+    return ledgers.generation_fates(own, own.filter("o_orderkey % 5 = 0"), frames, files, files.filter("l_quantity < 45"))
+
+
+@query("video_cameras", """WITH v AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Apple Phone ' || c_nationkey WHEN 1 THEN 'Make' WHEN 2 THEN 'DJI Pocket 4P' WHEN 3 THEN '' ELSE 'Model' END AS camera, CASE WHEN c_custkey % 2 = 0 THEN 'here' WHEN c_custkey % 3 = 0 THEN '+1+2/' END AS location FROM customer) SELECT * FROM v""")
+def _(t):
+    of = F.col("c_custkey") % 5
+    tag = lambda name, value: F.when(value.isNotNull(), F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    tags = F.map_concat(
+        tag("com.apple.quicktime.make", F.when(of == 0, F.lit(" Apple "))), tag("com.apple.quicktime.model", F.when(of == 0, F.concat(F.lit("Phone "), F.col("c_nationkey").cast("string")))),
+        tag("make", F.when(of <= 1, F.lit("Make"))), tag("model", F.when(of == 4, F.lit("Model"))), tag("encoder", F.when(of == 2, F.lit("DJI OsmoPocket4P")).when(of == 3, F.lit("Lavf60"))),
+        tag("location", F.when(F.col("c_custkey") % 2 == 0, F.lit("here"))), tag("com.apple.quicktime.location.ISO6709", F.when(F.col("c_custkey") % 3 == 0, F.lit("+1+2/"))),
+    )
+    return t.customer.select(F.col("c_custkey").alias("id"), media.video_camera(tags).alias("camera"), media.video_location(tags).alias("location"))
+
+
 @query("identities")
 def _(t):
     # every tenth face is labelled by its class, every seventeenth is said not to be of it

@@ -18,12 +18,6 @@ def _(t):
     return t.rows("frames int", (3,), (100,)).select("frames", media.coarse_ordinals(F.col("frames")).alias("ordinals"))
 
 
-@query("sheet_layout", "SELECT o_orderkey AS frame, (o_orderkey // 32) AS sheet, (o_orderkey % 32) % 8 * 256 AS x, (o_orderkey % 32) // 8 * 256 AS y FROM orders")
-def _(t):
-    cell = F.col("o_orderkey") % 32
-    return t.orders.select(F.col("o_orderkey").alias("frame"), F.expr("o_orderkey div 32").alias("sheet"), (cell % 8 * 256).alias("x"), (F.floor(cell / 8) * 256).alias("y"))
-
-
 @query("gps_label", "SELECT * FROM (VALUES (1, '12.500°S 45.250°W'), (2, NULL), (3, NULL)) AS x(id, label)")
 def _(t):
     rows = t.rows("id int, lat array<double>, lon array<double>, status string", (1, [12.0, 30.0, 0.0], [45.0, 15.0, 0.0], "A"), (2, [0.0, 0.0, 0.0], [0.0, 0.0, 0.0], "A"), (3, [95.0, 0.0, 0.0], [1.0, 0.0, 0.0], "A"))
@@ -51,12 +45,6 @@ def _(t):
     return t.rows("seconds double, audio boolean", (61.0, True), (30.0, True), (10.0, False)).select("seconds", "audio", media.speech_chunks(F.col("seconds"), F.col("audio")).alias("starts"))
 
 
-@query("segment_time_shift", "SELECT conv_id AS asset, turn, CAST(turn * 30.0 + 1.5 AS DOUBLE) AS start FROM conversations")
-def _(t):
-    shifted = F.transform(F.array(F.struct(F.lit(1.5).alias("start"))), lambda s: s.withField("start", s["start"] + F.col("turn") * 30.0))
-    return t.conversations.select(F.col("conv_id").alias("asset"), "turn", shifted[0]["start"].alias("start"))
-
-
 @query("face_geometry", "SELECT vec_id AS face, round(sqrt(pow(CAST(embedding[1] AS DOUBLE) - embedding[3], 2) + pow(CAST(embedding[2] AS DOUBLE) - embedding[4], 2)), 5) AS eyes FROM embeddings")
 def _(t):
     v = F.col("vector")
@@ -68,12 +56,6 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("id"), F.round(F.least(F.lit(1.0), F.lit(1920.0) / F.greatest(F.col("p_size") * 100, F.lit(1))), 6).alias("scale"))
 
 
-@query("face_key", "SELECT event_id, CAST(user_id AS VARCHAR) || '|' || CASE WHEN event_id % 2 = 0 THEN 'photo' ELSE printf('%.6f', value) END AS face_key FROM events")
-def _(t):
-    time = F.when(F.col("event_id") % 2 == 0, "photo").otherwise(F.format_string("%.6f", "value"))
-    return t.events.select("event_id", F.concat_ws("|", F.col("user_id").cast("string"), time).alias("face_key"))
-
-
 @query("resource_key", "SELECT event_id, sha256(CAST(user_id AS VARCHAR) || ':' || event_type || ':' || CAST(event_id AS VARCHAR) || ':' || 'name') AS resource FROM events")
 def _(t):
     return t.events.select("event_id", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string"), F.lit("name")), 256).alias("resource"))

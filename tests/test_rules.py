@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from lodestone.operators import edits, ledgers, queues
 from test_whole_tables import _matches_sql
 
 
-@pytest.mark.parametrize("name", ["capture_device", "people_edits", "job_sync_actions", "import_registered", "import_pass", "compaction_policy", "job_rounds", "units_in_force", "retention_receipts", "nms", "tracks", "date_cover", "date_phrase_parse", "gps_label", "frame_rate", "retention_tiers", "history_changes", "receipt_ledger", "attempts_since_disconnect", "lanes_with_work", "labels_token", "removed_assets", "facet_router_total"])
+@pytest.mark.parametrize("name", ["capture_device", "people_edits", "job_sync_actions", "import_registered", "import_pass", "compaction_policy", "job_rounds", "units_in_force", "retention_receipts", "nms", "tracks", "date_cover", "date_phrase_parse", "gps_label", "frame_rate", "retention_tiers", "history_changes", "receipt_ledger", "attempts_since_disconnect", "lanes_with_work", "labels_token", "removed_assets", "facet_router_total", "face_reference", "packed_cells", "segment_words", "video_sizes", "date_selection", "generation_fates", "video_cameras", "iou_label_match", "toggle_selection"])
 def test_against_sql(spark, name):
     _matches_sql(spark, name, None)
 
@@ -66,3 +67,21 @@ def test_history_before_the_token_is_gone(spark):
     history = spark.createDataFrame([(10, 1, "updated"), (11, 2, "removed")], "sequence long, asset long, kind string")
     found = lambda token, **k: sorted(r.asset for r in queues.assets_to_examine(assets, history, token, 1.0, **k).collect())
     assert found(9) == [1] and found(8) == [1, 2, 3] and found(9, same_range=False) == [1, 2, 3] and found(11) == []
+
+
+def test_overlapping_boxes_against_all_pairs(spark):
+    from lodestone.operators import people
+
+    rng = np.random.default_rng(6)
+    boxes = []
+    for n in range(150):
+        x, y = rng.integers(0, 12, 2)
+        w, h = rng.choice([0, 1, 2, 4, 5, 8, 16]), rng.choice([1, 2, 4, 5])
+        boxes.append((n % 2, n, float(x), float(y), float(x + w), float(y + h)))
+    frame = lambda p: spark.createDataFrame(boxes, f"asset long, {p}face long, {p}x1 double, {p}y1 double, {p}x2 double, {p}y2 double")
+    for least in (0.3, 0.5, 1.0):
+        wanted = set()
+        for a in boxes:
+            overlaps = people.overlaps(np.array(a[2:]), np.array([b[2:] for b in boxes]))
+            wanted |= {(a[1], b[1]) for b, o in zip(boxes, overlaps, strict=True) if a[0] == b[0] and o >= least}
+        assert sorted((r.l_face, r.f_face) for r in people.overlapping(frame("l_"), frame("f_"), "asset", least).collect()) == sorted(wanted)
