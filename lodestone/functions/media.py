@@ -171,3 +171,9 @@ def video_camera(tags: Column) -> Column:
 def video_location(tags: Column) -> Column:
     some = lambda name: F.when(F.try_element_at(tags, F.lit(name)) != "", F.try_element_at(tags, F.lit(name)))
     return F.coalesce(some("location"), some("com.apple.quicktime.location.ISO6709"))
+
+
+def toggled(chosen: Column, group: Column) -> Column:
+    """The ordered selection after a click on a group: all of it goes if all is chosen, else what is
+    missing is appended."""
+    return F.when(F.size(F.array_except(group, chosen)) == 0, F.filter(chosen, lambda x: ~F.array_contains(group, x))).otherwise(append_missing(chosen, group))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,19 @@ def total(files: DataFrame, day_counts: DataFrame, scope: Scope) -> DataFrame:
         return base.select(F.col("n").alias("total"))
     late = files.filter(plain.predicate() & (F.col("arrival") > scope.arrival_through)).agg(F.count(F.lit(1)).alias("late"))
     return base.join(late).select((F.col("n") - F.col("late")).alias("total"))  # one row each
+
+
+def visible(items: DataFrame, deleted: DataFrame, scope: Scope = Scope(), annotations: DataFrame | None = None, favorites: bool = False, labels: Sequence[str] = (), people: DataFrame | None = None) -> DataFrame:
+    """The items of a scope that are not deleted, show the people asked for (asset), and carry any of the
+    labels as a tag or place, or are favourites, where that is asked. ``annotations``: asset,
+    favorite, place, tags; an item without a row has none."""
+    out = scope.apply(items).join(deleted.select("asset"), "asset", "left_anti")
+    if people is not None:
+        out = out.join(people.select("asset"), "asset", "left_semi")
+    if annotations is not None and (favorites or labels):
+        wanted = F.coalesce("favorite", F.lit(False)) if favorites else F.lit(True)
+        if labels:
+            carried = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.coalesce("place", F.lit(""))))
+            wanted = wanted & F.arrays_overlap(carried, F.array(*map(F.lit, labels)))
+        out = out.join(annotations.filter(wanted).select("asset"), "asset", "left_semi")
+    return out

@@ -13,11 +13,6 @@ def pending() -> Column:
     return F.col("state").isin("queued", "running") | ((F.col("state") == "error") & (F.col("attempts") < MOST_ATTEMPTS))
 
 
-def transition(state: Column, outcome: Column, attempts: Column) -> Column:
-    """The state after one round: an outcome if there is one; retryable errors are queued again."""
-    return F.when(outcome.isNotNull(), outcome).when(state == "running", "queued").when((state == "error") & (attempts < MOST_ATTEMPTS), "queued").otherwise(state)
-
-
 def stage(done: Column) -> Column:
     return F.when(done == 0, "thumbnail").when(done == 1, "coarse").when(done == 2, "dense").otherwise("done")
 
@@ -104,3 +99,24 @@ def lanes_with_work(work: DataFrame, seen: DataFrame) -> DataFrame:
     before. ``work``: lane, sequence, ready; ``seen``: lane, token."""
     now = work.groupBy("lane").agg(F.max("sequence").alias("token"), F.some("ready").alias("ready"))
     return now.join(seen.withColumnRenamed("token", "before"), "lane", "left").filter(F.col("ready") & ~F.col("token").eqNullSafe(F.col("before"))).select("lane", "token")
+
+
+# Stages of previews, and the frames of a batch of the last one.
+STAGES, DENSE_BATCH, COARSE_FRAMES = ("thumbnail", "coarse", "dense"), 16, 12
+
+
+def preview_order(jobs: DataFrame, limit: int = 1) -> DataFrame:
+    """The next preview jobs: priority first, then early stages, then those served longest ago, then the
+    newest captures. Columns: asset, priority, stage, last_served, captured, state, attempts."""
+    return jobs.filter(pending()).orderBy(F.desc("priority"), "stage", "last_served", F.desc("captured"), "asset").limit(limit)
+
+
+def preview_requests(jobs: DataFrame) -> DataFrame:
+    """``jobs`` (asset, stage, frames, done: the ordinals that there are) with the ordinals to make: the
+    first frame, then evenly spaced ones, then sixteen missing ones at a time; and the next stage."""
+    from lodestone.functions.media import coarse_ordinals
+
+    missing = F.filter(F.sequence(F.lit(0), F.col("frames") - 1), lambda i: ~F.array_contains("done", i))
+    wanted = F.when(F.col("stage") == 0, F.array(F.lit(0))).when(F.col("stage") == 1, coarse_ordinals(F.col("frames"), COARSE_FRAMES)).otherwise(F.slice(missing, 1, DENSE_BATCH))
+    after = F.when(F.col("stage") < 2, F.col("stage") + 1).when(F.size(missing) <= DENSE_BATCH, 3).otherwise(2)
+    return jobs.withColumn("wanted", wanted).withColumn("next_stage", after.cast("int"))

@@ -228,6 +228,55 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("id"), media.video_camera(tags).alias("camera"), media.video_location(tags).alias("location"))
 
 
+@query("visible_items", """WITH {files} SELECT asset, path FROM files WHERE kind = 'O' AND captured <> '' AND captured >= '19960101' AND asset NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AND asset IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 3 = 1)
+AND (asset % 3 = 0 AND (asset % 4 = 0 OR asset % 7 = 1))""")
+def _(t):
+    from lodestone.operators import browse
+    from lodestone.operators.scope import Scope
+
+    key = F.col("l_orderkey").alias("asset")
+    notes = t.files.select("asset", (F.col("asset") % 3 == 0).alias("favorite"), F.when(F.col("asset") % 4 == 0, "home").alias("place"), F.when(F.col("asset") % 7 == 1, F.array(F.lit("x"), F.lit("sea"))).alias("tags"))
+    scope = Scope(kind="O", start="19960101")
+    return browse.visible(t.files, t.lineitem.filter("l_quantity >= 49").select(key), scope, notes, True, ["sea", "home"], t.lineitem.filter("l_suppkey % 3 = 1").select(key)).select("asset", "path")
+
+
+@query("preview_order", """SELECT o_orderkey AS asset, o_custkey % 2 AS priority, o_custkey % 3 AS stage FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_custkey % 5 < 3 ORDER BY o_custkey % 2 DESC, o_custkey % 3, o_custkey % 11, o_orderdate DESC, o_orderkey LIMIT 16""")
+def _(t):
+    of = lambda n: F.col("o_custkey") % n
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "error").otherwise("complete")
+    jobs = t.orders.select(F.col("o_orderkey").alias("asset"), of(2).alias("priority"), of(3).alias("stage"), of(11).alias("last_served"), F.col("o_orderdate").alias("captured"), state.alias("state"), of(5).alias("attempts"))
+    return queues.preview_order(jobs, 16).select("asset", "priority", "stage")
+
+
+@query("preview_requests", """WITH j AS (SELECT o_orderkey AS asset, o_custkey % 3 AS stage, o_custkey % 40 + 1 AS frames FROM orders)
+SELECT asset, CAST(CASE stage WHEN 0 THEN [0] WHEN 1 THEN CASE WHEN frames <= 12 THEN range(frames) ELSE list_sort(list_distinct(list_transform(range(12), lambda i: CAST(round_even(i * (frames - 1) / 11.0::DOUBLE, 0) AS BIGINT)))) END ELSE list_filter(range(frames), lambda i: i % 3 <> 0)[1:16] END AS INTEGER[]) AS wanted,
+CAST(CASE WHEN stage < 2 THEN stage + 1 WHEN len(list_filter(range(frames), lambda i: i % 3 <> 0)) <= 16 THEN 3 ELSE 2 END AS INTEGER) AS next_stage FROM j""")
+def _(t):
+    frames = (F.col("o_custkey") % 40 + 1).cast("int")
+    jobs = t.orders.select(F.col("o_orderkey").alias("asset"), (F.col("o_custkey") % 3).alias("stage"), frames.alias("frames"), F.filter(F.sequence(F.lit(0), frames - 1), lambda i: i % 3 == 0).alias("done"))
+    return queues.preview_requests(jobs).select("asset", "wanted", "next_stage")
+
+
+_REVIEW = "g AS (SELECT l_partkey % 97 AS grp, count(*) AS size, count(DISTINCT l_orderkey) AS media, count(*) FILTER (l_returnflag = 'N') AS own FROM lineitem GROUP BY 1)"
+
+
+@query("group_review_own", f"WITH {_REVIEW} SELECT grp, size, media, media >= 2 AND own * 2 >= size AS own_only FROM g WHERE media >= 2")
+def _(t):
+    from lodestone.operators import people
+
+    faces = t.lineitem.select((F.col("l_partkey") % 97).alias("grp"), F.col("l_orderkey").alias("asset"), (F.col("l_returnflag") == "N").alias("own"))
+    mine = people.review_groups(faces).select("grp", F.lit(True).alias("own_only"))
+    return people.review_groups(faces, include_all=True).join(mine, "grp", "left").select("grp", "size", "media", F.coalesce("own_only", F.lit(False)).alias("own_only"))
+
+
+@query("group_toggles", """WITH c AS (SELECT conv_id AS id, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY 1), g AS (SELECT id, list_filter(turns, lambda x: x % 2 = 1) AS chosen, CASE id % 3 WHEN 0 THEN list_filter(turns, lambda x: x % 4 = 1) ELSE turns END AS grp FROM c)
+SELECT id, CASE WHEN len(list_filter(grp, lambda x: NOT list_contains(chosen, x))) = 0 THEN list_filter(chosen, lambda x: NOT list_contains(grp, x)) ELSE list_concat(chosen, list_filter(grp, lambda x: NOT list_contains(chosen, x))) END AS chosen FROM g""")
+def _(t):
+    turns = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    group = F.when(F.col("id") % 3 == 0, F.filter("turns", lambda x: x % 4 == 1)).otherwise(F.col("turns"))
+    return turns.select("id", media.toggled(F.filter("turns", lambda x: x % 2 == 1), group).alias("chosen"))
+
+
 @query("identities")
 def _(t):
     # every tenth face is labelled by its class, every seventeenth is said not to be of it

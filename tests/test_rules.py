@@ -13,7 +13,7 @@ from lodestone.operators import edits, ledgers, queues
 from test_whole_tables import _matches_sql
 
 
-@pytest.mark.parametrize("name", ["capture_device", "people_edits", "job_sync_actions", "import_registered", "import_pass", "compaction_policy", "job_rounds", "units_in_force", "retention_receipts", "nms", "tracks", "date_cover", "date_phrase_parse", "gps_label", "frame_rate", "retention_tiers", "history_changes", "receipt_ledger", "attempts_since_disconnect", "lanes_with_work", "labels_token", "removed_assets", "facet_router_total", "face_reference", "packed_cells", "segment_words", "video_sizes", "date_selection", "generation_fates", "video_cameras", "iou_label_match", "toggle_selection"])
+@pytest.mark.parametrize("name", ["capture_device", "people_edits", "job_sync_actions", "import_registered", "import_pass", "compaction_policy", "job_rounds", "units_in_force", "retention_receipts", "nms", "tracks", "date_cover", "date_phrase_parse", "gps_label", "frame_rate", "retention_tiers", "history_changes", "receipt_ledger", "attempts_since_disconnect", "lanes_with_work", "labels_token", "removed_assets", "facet_router_total", "face_reference", "packed_cells", "segment_words", "video_sizes", "date_selection", "generation_fates", "video_cameras", "iou_label_match", "toggle_selection", "visible_items", "preview_order", "preview_requests", "group_review_own", "group_toggles"])
 def test_against_sql(spark, name):
     _matches_sql(spark, name, None)
 
