@@ -154,10 +154,10 @@ def _(t):
     return ledgers.digest(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
 
 
-@query("removed_assets", "SELECT user_id AS asset FROM events GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) // 2 FROM events)")
+@query("removed_assets", "SELECT o_custkey AS asset FROM orders GROUP BY o_custkey HAVING max(o_orderdate) < TIMESTAMP '1996-01-01'")
 def _(t):
-    middle = t.events.agg(F.max("event_id")).first()[0] // 2
-    old, new = (t.events.filter(c).select(F.col("user_id").alias("asset")).distinct() for c in (F.col("event_id") <= middle, F.col("event_id") > middle))
+    middle = F.lit("1996-01-01").cast("timestamp_ntz")
+    old, new = (t.orders.filter(c).select(F.col("o_custkey").alias("asset")).distinct() for c in (F.col("o_orderdate") < middle, F.col("o_orderdate") >= middle))
     return old.join(new, "asset", "left_anti")
 
 
