@@ -90,6 +90,15 @@ def _(t):
     return found.select("face", "person", F.round("sim", 6).alias("sim"))
 
 
+@query("suggest_person_all", """WITH {vectors}, s AS (SELECT f.vec_id AS face, e.label AS person, max(list_sum(list_transform(range(1, 65), lambda i: f.vector[65 - i] * e.vector[i]))) AS sim FROM vectors f CROSS JOIN vectors e GROUP BY f.vec_id, e.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY face ORDER BY sim DESC, person) AS n, lead(sim) OVER (PARTITION BY face ORDER BY sim DESC, person) AS next FROM s) SELECT face, person, round(sim, 6) AS sim FROM r WHERE n = 1 AND sim >= 0.25 AND (next IS NULL OR sim - next >= 0.05)""")
+def _(t):
+    # every vector is an example of its class; the faces are all vectors read backwards
+    examples = t.vectors.select(F.col("label").alias("person"), "vector")
+    found = people.suggest(t.vectors.select(F.col("vec_id").alias("face"), F.reverse("vector").alias("vector")), examples, 0.25, 0.05)
+    return found.select("face", "person", F.round("sim", 6).alias("sim"))
+
+
 @query("same_moment", "WITH {vectors} SELECT a.vec_id AS face, max(round(list_sum(list_transform(range(1, 65), lambda i: a.vector[i] * b.vector[i])), 6)) AS sim FROM vectors a JOIN vectors b ON a.label = b.label AND abs(a.vec_id - b.vec_id) <= 20 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def _(t):
     # the time condition is cut into buckets as wide as it reaches, so that a person's rows spread

@@ -81,3 +81,7 @@ def test_suggestions_without_rejected_pairs(spark, block):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     found = people.suggest(frame([(i, v.tolist()) for i, v in enumerate(faces)], "face long, vector array<double>"), frame([(o, v.tolist()) for o, v in zip(owner, examples, strict=True)], "person long, vector array<double>"), block=block, rejected=frame([*no, (None, 1)], "face long, person long"))
     assert {r.face: r.person for r in found.collect()} == wanted and 5 not in wanted and len(wanted) > 5
+
+
+def test_suggestions_from_every_example(spark):
+    _matches_sql(spark, "suggest_person_all", None)
