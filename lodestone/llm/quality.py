@@ -13,7 +13,11 @@ text; without labelled rows all weights are zero and every score is 0.5.
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +60,47 @@ class QualityModel:
         return float(sigmoid(self.intercept + (self.weights[at].sum() / n if n else 0.0)))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 3, alpha: float = 1.0, beta: float = 0.05, l1: float = 1e-4, l2: float = 1e-4) -> QualityModel:
+class StoredRows(Sequence):
+    """Sparse rows (slots, values, label) in a file; in memory are their places and first slots.
+
+    ``sort`` brings them into a total order, which does not depend on how they came.
+    """
+
+    def __init__(self, file) -> None:
+        self.file = file
+        self.size = 0
+        self.rows: list[tuple[int, int, list[int], int]] = []  # slots, label, first slots, place
+
+    def add(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
+        data = slots.astype(np.int64).tobytes() + values.astype(np.float64).tobytes()
+        self.file.write(data)
+        self.rows.append((len(slots), label, slots[:8].tolist(), self.size))
+        self.size += len(data)
+
+    def _bytes(self, row: tuple[int, int, list[int], int]) -> bytes:
+        return os.pread(self.file.fileno(), 16 * row[0], row[3])
+
+    def sort(self) -> None:
+        self.file.flush()
+
+        def compare(a, b) -> int:
+            x, y = a[:3], b[:3]
+            if x == y:
+                x, y = self._bytes(a), self._bytes(b)
+            return (x > y) - (x < y)
+
+        self.rows.sort(key=cmp_to_key(compare))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        n, label, *_ = row = self.rows[i]
+        data = self._bytes(row)
+        return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, n, 8 * n), label
+
+
+def ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int = 3, alpha: float = 1.0, beta: float = 0.05, l1: float = 1e-4, l2: float = 1e-4) -> QualityModel:
     """FTRL-proximal logistic regression over sparse rows (slots, values, label)."""
     size = 1 << bits
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
@@ -76,7 +120,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, bits: int = 18, divisor: int = 5, held_out: int = 0) -> QualityModel:
-    """Fits on at most ``bound`` labelled rows; features are made on the executors."""
+    """Fits on at most ``bound`` labelled rows, in one task; the driver gets the weights only.
+
+    Features are made where the texts are. The task that fits keeps them in a temporary file of
+    its own, so that its memory is that of the weights, however long the texts are.
+    """
 
     def featurise(batches):
         for batch in slices(batches):
@@ -87,12 +135,22 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, bits: int =
                 names=["label", "slots", "vals"],
             )
 
+    def fit(batches):
+        with tempfile.TemporaryFile() as file:
+            rows = StoredRows(file)
+            for batch in slices(batches):
+                for label, s, v in zip(*batch.columns, strict=True):
+                    rows.add(s.values.to_numpy(), v.values.to_numpy(), label.as_py())
+            rows.sort()
+            model = ftrl(rows, bits)
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept])], names=["weights", "intercept"])
+
     sample = labelled_sample(docs, labels, "quality", divisor, held_out, bound)
-    rows = sample.mapInArrow(featurise, "label int, slots array<int>, vals array<float>").toArrow()
-    packed = [(np.asarray(s, np.int64), np.asarray(v, np.float64), y) for y, s, v in zip(*(rows.column(c).to_numpy() if c != "label" else rows.column(c).to_pylist() for c in ("label", "slots", "vals")), strict=True)]
-    # a total order: the order of rows must not depend on partitions
-    packed.sort(key=lambda r: (len(r[0]), r[2], r[0][:8].tolist(), r[0].tobytes(), r[1].tobytes()))
-    return ftrl(packed, bits)
+    features = sample.mapInArrow(featurise, "label int, slots array<int>, vals array<float>")
+    found = features.repartition(1).mapInArrow(fit, "weights binary, intercept double").collect()
+    if not found:  # no task ran, as there were no rows
+        return ftrl([], bits)
+    return QualityModel(np.frombuffer(found[0].weights, np.float64), found[0].intercept, bits)
 
 
 def score(docs: DataFrame, model: QualityModel, *, divisor: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
